@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import encoding, packing
+from . import encoding, neardup, packing
 
 CAPACITY = 2048
 
@@ -39,8 +39,18 @@ def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_budget(rows, ["tbl", "source", "lang", "domain", "mode"], "text")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    membership, links = neardup.near_duplicates(load(spark, d, "aletheia_skill"), "node_id", ["code_snippet", "source_context"])
+    return neardup.expand(membership, links).select(F.col("id_a").alias("node_id_a"), F.col("id_b").alias("node_id_b"), "field")
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    membership, links = neardup.near_duplicates(load(spark, d, "aletheia_skill"), "node_id", ["code_snippet", "source_context"])
+    return neardup.groups(membership, links).withColumnRenamed("id", "node_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_tokens": p4_tokens, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
+    return {"p4_tokens": p4_tokens, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
 
 
 def oracle_sql() -> dict[str, str]:
