@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import encoding, neardup, packing
+from . import encoding, neardup, packing, sourcecheck, toxicity
 
 CAPACITY = 2048
 
@@ -35,8 +35,8 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = encoding.budget_input(*(load(spark, d, t) for t in ("chatml", "documents", "project", "score_request")))
-    return encoding.token_budget(rows, ["tbl", "source", "lang", "domain", "mode"], "text")
+    rows = encoding.budget_input(*(load(spark, d, t) for t in ("chatml", "documents", "score_request")))
+    return encoding.with_domain(encoding.token_budget(rows, ["tbl", "source", "lang", "mode"], "text"), load(spark, d, "project"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,8 +49,38 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(membership, links).withColumnRenamed("id", "node_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    checked = sourcecheck.syntax_errors(load(spark, d, "aletheia_skill"), "node_id", "file", "code_snippet")
+    return checked.where(F.size("errors") > 0).select("node_id").distinct()
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    checked = sourcecheck.syntax_errors(load(spark, d, "aletheia_skill"), "node_id", "file", "code_snippet", ["project_name"])
+    once = checked.groupBy("node_id", "project_name", "language").agg(F.first("errors").alias("errors"))
+    return sourcecheck.acceptance(once, ["project_name", "language"])
+
+
+def p3_errors(spark: SparkSession, d: str) -> DataFrame:
+    checked = sourcecheck.syntax_errors(load(spark, d, "aletheia_skill"), "node_id", "file", "code_snippet")
+    return checked.where(F.size("errors") > 0).dropDuplicates(["node_id"])
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score(load(spark, d, "documents"), load(spark, d, "labels")).where("harmful").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score(load(spark, d, "documents"), load(spark, d, "labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    source = docs.select("doc_id", encoding.normal_source(F.col("source")).alias("source"))
+    return p10_scores(spark, d).join(source, "doc_id").groupBy("source").agg(F.count("*").alias("documents"), F.count_if("harmful").alias("harmful"), F.round(F.avg(F.col("harmful").cast("int")), 6).alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_tokens": p4_tokens, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
+    return {"p3_found": p3_found, "p3_rates": p3_rates, "p3_errors": p3_errors, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_tokens": p4_tokens, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
 
 
 def oracle_sql() -> dict[str, str]:
