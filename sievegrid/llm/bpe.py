@@ -103,6 +103,9 @@ class Bpe:
             self.cache[piece] = got
         return got
 
+    def length(self, piece: str) -> int:
+        return len(self.cache.get(piece) or self.piece(piece))
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; special-token strings are ordinary text; empty for null and empty."""
         if not text:

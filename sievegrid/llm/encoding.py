@@ -110,18 +110,8 @@ def slice_piece_counts(df: DataFrame, slices: list[str], text: str, path: str |
 
     schema = ", ".join(f"{n} string" for n in names) + ", piece string, n bigint"
     got = df.select(*[F.col(c).alias(n) for c, n in zip(slices, names)], F.col(text).alias("text")).mapInArrow(run, schema)
-    return got.groupBy(*names, "piece").agg(F.sum("n").alias("n")).select(*[F.col(n).alias(c) for n, c in zip(names, slices)], "piece", "n")
-
-
-def piece_lengths(pieces: DataFrame, path: str | None = None) -> DataFrame:
-    """(piece, len INT) of each distinct piece, each tokenized once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge = bpe.tokenizer(path).merge
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(merge(p.encode())) for p in b.column(0).to_pylist()], pa.int32())], names=["piece", "len"])
-
-    return pieces.select("piece").distinct().mapInArrow(run, "piece string, len int")
+    # By piece only: all counts of a piece meet in one task, which tokenizes it once.
+    return got.repartition("piece").select(*[F.col(n).alias(c) for n, c in zip(names, slices)], "piece", "n")
 
 
 def token_budget(df: DataFrame, slices: list[str], text: str, path: str | None = None) -> DataFrame:
@@ -131,18 +121,54 @@ def token_budget(df: DataFrame, slices: list[str], text: str, path: str | None =
     add nothing, a slice of only such texts does not come out. Repeated rows
     count as often as given: drop repeats by key first.
     """
-    counts = slice_piece_counts(df, slices, text, path)
-    # Slices are folded into one map per piece, so the counts cross the network once more only by piece.
-    lengths = piece_lengths(counts, path)
-    return counts.join(lengths, "piece").groupBy(*slices).agg(F.sum(F.col("n") * F.col("len")).alias("n_tokens"))
-
+    names = [f"s{i}" for i in range(len(slices))]
+    width = len(slices)
 
-def budget_input(chatml: DataFrame, documents: DataFrame, project: DataFrame, score_request: DataFrame) -> DataFrame:
-    """(tbl, source, lang, domain, mode, text) of all documents and of all messages of distinct chats."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length = bpe.tokenizer(path).length
+        totals: Counter = Counter()
+        for b in batches:
+            # The join of cached lengths with frequencies: the pieces of this partition are in no other.
+            lens = np.fromiter(map(length, b.column(width).to_pylist()), np.int64, b.num_rows) * b.column(width + 1).to_numpy()
+            code = np.zeros(b.num_rows, np.int64)
+            dicts = []
+            for i in range(width):
+                d = b.column(i).dictionary_encode()
+                idx = d.indices.fill_null(len(d.dictionary)).to_numpy()
+                dicts.append([*d.dictionary.to_pylist(), None])
+                code = code * len(dicts[-1]) + idx
+            uniq, inv = np.unique(code, return_inverse=True)
+            for c, n in zip(uniq.tolist(), np.bincount(inv, lens, len(uniq)).tolist()):
+                k = []
+                for d in reversed(dicts):
+                    c, r = divmod(c, len(d))
+                    k.append(d[r])
+                totals[tuple(reversed(k))] += int(n)
+            if len(totals) > HELD_PAIRS:
+                yield _totals(totals, names)
+                totals.clear()
+        yield _totals(totals, names)
+
+    counts = slice_piece_counts(df, slices, text, path).select(*[F.col(c).alias(n) for c, n in zip(slices, names)], "piece", "n")
+    out = counts.mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", n_tokens bigint")
+    return out.groupBy(*names).agg(F.sum("n_tokens").alias("n_tokens")).where("n_tokens > 0").withColumnsRenamed(dict(zip(names, slices)))
+
+
+def _totals(totals: Counter, names: list[str]) -> pa.RecordBatch:
+    cols = [pa.array([k[i] for k in totals], pa.string()) for i in range(len(names))]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(list(totals.values()), pa.int64())], names=[*names, "n_tokens"])
+
+
+def budget_input(chatml: DataFrame, documents: DataFrame, score_request: DataFrame) -> DataFrame:
+    """(tbl, source, lang, mode, text) of all documents and of all messages of distinct chats."""
     req = score_request.groupBy("request_id").agg(F.max("mode").alias("req_mode"))
     chats = chatml.select("chat_id", "request_id", "source", "lang", "_mode", F.filter(F.transform("messages", lambda m: m["content"]), lambda x: x.isNotNull()).alias("texts")).dropDuplicates(["chat_id"])
     chats = chats.join(req, "request_id", "left").select(F.lit("chatml").alias("tbl"), "source", "lang", F.coalesce("_mode", "req_mode").alias("mode"), F.explode("texts").alias("text"))
     docs = documents.select(F.lit("documents").alias("tbl"), "source", "lang", "mode", "text")
-    both = chats.unionByName(docs).select("tbl", normal_source(F.col("source")).alias("source"), normal_lang(F.col("lang")).alias("lang"), F.lower(F.trim("mode")).alias("mode"), "text")
+    return chats.unionByName(docs).select("tbl", normal_source(F.col("source")).alias("source"), normal_lang(F.col("lang")).alias("lang"), F.lower(F.trim("mode")).alias("mode"), "text")
+
+
+def with_domain(totals: DataFrame, project: DataFrame) -> DataFrame:
+    """The totals with the domain of their source; null where the project is unknown or has none."""
     domains = project.groupBy(normal_source(F.col("project_name")).alias("source")).agg(F.max("domain").alias("domain"))
-    return both.join(domains, "source", "left")
+    return totals.join(domains, "source", "left")
