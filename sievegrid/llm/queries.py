@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import encoding, neardup, packing, sourcecheck, toxicity
+from . import credentials, encoding, neardup, packing, sourcecheck, toxicity
 
 CAPACITY = 2048
 
@@ -79,8 +79,19 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).join(source, "doc_id").groupBy("source").agg(F.count("*").alias("documents"), F.count_if("harmful").alias("harmful"), F.round(F.avg(F.col("harmful").cast("int")), 6).alias("rate"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    got = credentials.scan(load(spark, d, "aletheia_skill"), "node_id", "file", "code_snippet")
+    return got.select("node_id", F.explode("found.line_no").alias("line_no")).distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """node_id and the redacted snippet of every node, once."""
+    got = credentials.scan(load(spark, d, "aletheia_skill"), "node_id", "file", "code_snippet")
+    return got.groupBy("node_id").agg(F.first("redacted").alias("redacted"), F.max(F.size("found")).alias("credentials"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_rates": p3_rates, "p3_errors": p3_errors, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_tokens": p4_tokens, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_rates": p3_rates, "p3_errors": p3_errors, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_tokens": p4_tokens, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
 
 
 def oracle_sql() -> dict[str, str]:
