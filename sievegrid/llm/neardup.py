@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, ship
+from ..runtime import broadcast_if_small, materialize, ship
 from . import textvec
 
-SAMPLES, ROWS, BANDS, SKETCH_BITS = 192, 7, 80, 512
+SAMPLES, ROWS, BANDS, SKETCH_BITS = 192, 8, 96, 512
 MIN_WORDS, THRESHOLD = 20, 0.8
 WORD = re.compile(r"[A-Za-z0-9_]+")
 #: Texts hashed at once in a worker; bounds its memory.
@@ -143,20 +143,22 @@ def near_duplicates(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFra
     rows = materialize(sketch_table(df, key, fields), "sketches")
     members = rows.select("id", "field", "c1", "c2").distinct()
     named = members.groupBy("field", "c1", "c2").agg(F.min("id").alias("rep"))
-    membership = members.join(named, ["field", "c1", "c2"]).select("id", "field", "rep")
-    reps = rows.groupBy("field", "c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = materialize(reps.withColumn("h", F.xxhash64("field", "rep")), "representatives")
+    membership = materialize(members.join(named, ["field", "c1", "c2"]).select("id", "field", "rep"), "membership")
+    # Members other than the representative leave the search. They are few unless copies abound; their number decides the join.
+    others = membership.where("id <> rep").select("id", "field")
+    others = broadcast_if_small(others, others.count(), 64)
+    reps = rows.join(others, ["id", "field"], "left_anti").select(F.xxhash64("field", "id").alias("h"), F.col("id").alias("rep"), "field", "n", "bands", "sketch")
     post = reps.select("h", "n", F.explode("bands").alias("k"))
     a, b = post.alias("a"), post.alias("b")
     ratio = THRESHOLD / (2 - THRESHOLD)
     fits = (F.col("a.n") >= F.col("b.n") * ratio - 1e-6) & (F.col("b.n") >= F.col("a.n") * ratio - 1e-6)
     pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")) & fits).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).distinct()
-    sk = reps.select("h", "sketch")
+    sk = reps.select("h", "sketch").dropDuplicates(["h"])
     both = pairs.join(sk.select(F.col("h").alias("ha"), F.col("sketch").alias("sa")), "ha").join(sk.select(F.col("h").alias("hb"), F.col("sketch").alias("sb")), "hb")
     differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
     likely = materialize(both.where(differ <= odd_limit()).select("ha", "hb"), "likely")
     # Only texts of a likely pair are read for the exact check.
-    need = likely.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().join(reps.select("h", "field", "rep"), "h")
+    need = likely.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().join(reps.select("h", "field", "rep").distinct(), "h")
     flat = df.select(F.col(key).cast("string").alias("rep"), F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f) for f in fields]))).alias("field", "text")).where("text is not null")
     texts = materialize(flat.join(need, ["rep", "field"]).groupBy("h", "field", "rep").agg(F.first("text").alias("text")), "likely-texts")
     left = texts.select(F.col("h").alias("ha"), "field", F.col("rep").alias("ra"), F.col("text").alias("ta"))
