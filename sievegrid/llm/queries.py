@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import credentials, encoding, generated, neardup, packing, sourcecheck, toxicity
+from . import credentials, encoding, generated, neardup, packing, scanned, sourcecheck, toxicity
 
 CAPACITY = 2048
 
@@ -102,8 +102,18 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return p6_classes(spark, d).groupBy("repository").agg(F.count("*").alias("files"), F.count_if(F.size("classes") == 0).alias("hand_written"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = scanned.texts_of(load(spark, d, "advocate_payload"), load(spark, d, "aletheia_skill"))
+    return scanned.analyse(texts)[1]
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    texts = scanned.texts_of(load(spark, d, "advocate_payload"), load(spark, d, "aletheia_skill"))
+    return scanned.repaired(texts, *scanned.analyse(texts))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_rates": p3_rates, "p3_errors": p3_errors, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_tokens": p4_tokens, "p6_found": p6_found, "p6_classes": p6_classes, "p6_rates": p6_rates, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_rates": p3_rates, "p3_errors": p3_errors, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p6_classes": p6_classes, "p6_rates": p6_rates, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
 
 
 def oracle_sql() -> dict[str, str]:
