@@ -346,6 +346,9 @@ class Page:
 
 def weak_header(f: list[float]) -> int | None:
     again, near, combined, edge, broken, lower, blank_a, blank_b = (bool(v) for v in f[1:9])
+    titled = f[10] >= 0.35 or f[11] or again
+    if not titled and not combined:
+        return 0
     if edge and not blank_a and (f[15] or not blank_b) or f[17] or f[18]:
         return 1
     if combined or near and (again or edge or broken or f[11]) or again and broken and not blank_b:
