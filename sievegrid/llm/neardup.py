@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..runtime import broadcast_if_small, materialize, ship
 from . import textvec
 
-SAMPLES, ROWS, BANDS, SKETCH_BITS = 192, 8, 96, 512
+SAMPLES, ROWS, BANDS, SKETCH_BITS = 192, 9, 128, 512
 MIN_WORDS, THRESHOLD = 20, 0.8
 WORD = re.compile(r"[A-Za-z0-9_]+")
 #: Texts hashed at once in a worker; bounds its memory.
@@ -152,7 +152,9 @@ def near_duplicates(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFra
     a, b = post.alias("a"), post.alias("b")
     ratio = THRESHOLD / (2 - THRESHOLD)
     fits = (F.col("a.n") >= F.col("b.n") * ratio - 1e-6) & (F.col("b.n") >= F.col("a.n") * ratio - 1e-6)
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")) & fits).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).distinct()
+    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")) & fits).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
+    # One shuffle by the first id serves the removal of repeats and the join with its sketch.
+    pairs = pairs.repartition("ha").dropDuplicates(["ha", "hb"])
     sk = reps.select("h", "sketch").dropDuplicates(["h"])
     both = pairs.join(sk.select(F.col("h").alias("ha"), F.col("sketch").alias("sa")), "ha").join(sk.select(F.col("h").alias("hb"), F.col("sketch").alias("sb")), "hb")
     differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
