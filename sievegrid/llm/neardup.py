@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..runtime import broadcast_if_small, materialize, ship
 from . import textvec
 
-SAMPLES, ROWS, BANDS, SKETCH_BITS = 192, 9, 128, 512
+SAMPLES, ROWS, BANDS, SKETCH_BITS = 320, 9, 128, 512
 MIN_WORDS, THRESHOLD = 20, 0.8
 WORD = re.compile(r"[A-Za-z0-9_]+")
 #: Texts hashed at once in a worker; bounds its memory.
