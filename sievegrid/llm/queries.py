@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import credentials, encoding, generated, neardup, packing, scanned, sourcecheck, toxicity
+from . import credentials, encoding, generated, neardup, packing, pairs, scanned, sourcecheck, toxicity
 
 CAPACITY = 2048
 
@@ -112,8 +112,12 @@ def p5_text(spark: SparkSession, d: str) -> DataFrame:
     return scanned.repaired(texts, *scanned.analyse(texts))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(pairs.pairs_of(load(spark, d, "chatml"), load(spark, d, "payload")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_rates": p3_rates, "p3_errors": p3_errors, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p6_classes": p6_classes, "p6_rates": p6_rates, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_rates": p3_rates, "p3_errors": p3_errors, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p6_classes": p6_classes, "p6_rates": p6_rates, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
 
 
 def oracle_sql() -> dict[str, str]:
