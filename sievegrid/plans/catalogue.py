@@ -491,10 +491,11 @@ def transition_counts(spark, d):
     return l.groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 2) AS mean50 FROM events")
+@query("SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) AS cents50, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
 def rolling_mean_50(spark, d):
+    """Sum (in hundredths, so that no order of adding shows) and number of a user's last fifty values: the rolling mean's two parts."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-49, 0)
-    return load(spark, d, "events").select("event_id", F.round(F.avg("value").over(w), 2).alias("mean50"))
+    return load(spark, d, "events").select("event_id", F.sum(F.round(F.col("value") * 100).cast("bigint")).over(w).alias("cents50"), F.count("*").over(w).alias("n"))
 
 
 @query("WITH l AS (SELECT user_id, ts, event_id, value, max(CASE WHEN value < 50 THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS last_low FROM events) SELECT user_id, count(*) FILTER (last_low IS NULL OR (ts, event_id) > last_low) AS run FROM l GROUP BY user_id")
