@@ -23,18 +23,20 @@ from pyspark.sql import functions as F
 from ..runtime import broadcast_if_small, materialize, ship
 from . import textvec
 
-SAMPLES, ROWS, BANDS, SKETCH_BITS = 320, 9, 128, 512
+SAMPLES, SKETCH_BITS = 320, 512
+#: Rows and bands of a field: prose of one domain shares more of its words by chance than code does, so it needs longer rows.
+CODE_BANDS, PROSE_BANDS = (7, 80), (9, 128)
 MIN_WORDS, THRESHOLD = 20, 0.8
 WORD = re.compile(r"[A-Za-z0-9_]+")
 #: Texts hashed at once in a worker; bounds its memory.
 CHUNK_BYTES = 2_000_000
 
 
-def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _constants(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240607)
     a = rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
     x = rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
-    picks = np.stack([rng.choice(SAMPLES, ROWS, replace=False) for _ in range(BANDS)])
+    picks = np.stack([rng.choice(SAMPLES, shape[0], replace=False) for _ in range(shape[1])])
     return a, x, picks
 
 
@@ -48,9 +50,9 @@ def odd_limit(threshold: float = THRESHOLD, samples: int = SAMPLES, bits: int =
     return int(expect + sigmas * var**0.5)
 
 
-def signatures(texts: list[str | None], salt: int) -> tuple[np.ndarray, ...]:
+def signatures(texts: list[str | None], salt: int, shape: tuple[int, int]) -> tuple[np.ndarray, ...]:
     """Of each text: words, class (two numbers), band keys and odd sketch; zeros where it has no words."""
-    a, x, picks = _constants()
+    a, x, picks = _constants(shape)
     n = len(texts)
     w = textvec.Words(texts)
     e, row = textvec.multiset_elements(w)
@@ -65,8 +67,8 @@ def signatures(texts: list[str | None], salt: int) -> tuple[np.ndarray, ...]:
             for j in range(SAMPLES):
                 mins[j, have] = np.minimum.reduceat((e ^ x[j]) * a[j], starts)
     with np.errstate(over="ignore"):
-        keys = np.zeros((n, BANDS), np.uint64)
-        for b in range(BANDS):
+        keys = np.zeros((n, len(picks)), np.uint64)
+        for b in range(len(picks)):
             k = np.full(n, (b + 1) * 1_000_003 + salt, np.uint64)
             for j in picks[b]:
                 k = textvec.mix(k * np.uint64(31) + mins[j])
@@ -85,14 +87,14 @@ def _lists(m: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), flat)
 
 
-def sketch_table(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def sketch_table(df: DataFrame, key: str, fields: dict[str, tuple[int, int]]) -> DataFrame:
     """(id, field, n, c1, c2, bands, sketch) of every text with MIN_WORDS words or more."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0)
-            for f, name in enumerate(fields):
+            for f, (name, shape) in enumerate(fields.items()):
                 texts = b.column(1 + f).to_pylist()
                 at = 0
                 while at < len(texts):
@@ -100,7 +102,7 @@ def sketch_table(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
                     while to < len(texts) and (size < CHUNK_BYTES or to == at):
                         size += len(texts[to] or "")
                         to += 1
-                    n, cls, keys, sketch = signatures(texts[at:to], f)
+                    n, cls, keys, sketch = signatures(texts[at:to], f, shape)
                     ok = np.flatnonzero(n >= MIN_WORDS)
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(at, to - at).take(pa.array(ok)), pa.array([name] * len(ok), pa.string()), pa.array(n[ok].astype(np.int32)), pa.array(cls[0, ok].view(np.int64)), pa.array(cls[1, ok].view(np.int64)), _lists(keys[ok]), _lists(sketch[ok])],
@@ -131,8 +133,8 @@ def _common(a: str, b: str) -> tuple[int, int]:
     return (x & y).total(), max(1, x.total() + y.total())
 
 
-def near_duplicates(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(membership, links) of the fields' texts.
+def near_duplicates(df: DataFrame, key: str, fields: dict[str, tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """(membership, links) of the texts of fields, each with its rows and bands.
 
     membership: (id, field, rep), one row per text of at least MIN_WORDS words;
     rep is the least id of the texts with the same word multiset. links:

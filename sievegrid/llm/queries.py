@@ -40,12 +40,12 @@ def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    membership, links = neardup.near_duplicates(load(spark, d, "aletheia_skill"), "node_id", ["code_snippet", "source_context"])
+    membership, links = neardup.near_duplicates(load(spark, d, "aletheia_skill"), "node_id", {"code_snippet": neardup.CODE_BANDS, "source_context": neardup.PROSE_BANDS})
     return neardup.expand(membership, links).select(F.col("id_a").alias("node_id_a"), F.col("id_b").alias("node_id_b"), "field")
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
-    membership, links = neardup.near_duplicates(load(spark, d, "aletheia_skill"), "node_id", ["code_snippet", "source_context"])
+    membership, links = neardup.near_duplicates(load(spark, d, "aletheia_skill"), "node_id", {"code_snippet": neardup.CODE_BANDS, "source_context": neardup.PROSE_BANDS})
     return neardup.groups(membership, links).withColumnRenamed("id", "node_id")
 
 
