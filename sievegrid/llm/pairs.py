@@ -48,7 +48,7 @@ ASKED = re.compile(r"(?i)translat|übersetz|traduc|traduis|tradui|翻译|\b(?:in
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 MARKUP = re.compile(r"<[^<>]*>|```\w*|[`*_#>|\-=~\[\](){}\"'“”.,;:!?…\s​‌‍﻿ ]+")
-NOTHING = re.compile(r"(?i)^(?:n\s*a|none|null|nil|nan|undefined|todo|tbd|empty|placeholder|no (?:output|answer|response|content|data)|not available|answer(?: here)?|fixme|xxx+|lorem ipsum.*|kA|s o|so|keine (?:antwort|angabe)|sin respuesta|pas de réponse|无|暂无|待定|待补充)?$")
+NOTHING = re.compile(r"(?i)^(?:n\s*/?\s*a|none|null|nil|nan|undefined|todo|tbd|empty|placeholder|no (?:output|answer|response|content|data)|not available|answer(?: here)?|fixme|xxx+|lorem ipsum.*|kA|s o|so|keine (?:antwort|angabe)|sin respuesta|pas de réponse|无|暂无|待定|待补充)?$")
 FENCE = re.compile(r"```[\s\S]*?(?:```|\Z)")
 
 

@@ -32,7 +32,7 @@ LOOKALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
 TABLE = INVISIBLE | {ord(k): v for k, v in LOOKALIKE.items()}
 
-IN_WORD = re.compile(r"(?<=[a-z])[013457@$!|]+(?=[a-z])|(?<![\w.])[@$](?=[a-z]{2})")
+IN_WORD = re.compile(r"(?<=[a-z])[013457@$!|]+(?=[a-z])|(?<=[a-z])\$+(?![\w$])|(?<![\w.])[@$](?=[a-z]{2})")
 STARRED = re.compile(r"(?<=[a-z])[*#]+(?=[a-z])")
 SPACED = re.compile(r"(?<![a-z0-9])(?:[a-z][ .\-_*]){3,}[a-z](?![a-z0-9])")
 REPEATED = re.compile(r"([a-z])\1{2,}")
