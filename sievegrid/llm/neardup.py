@@ -142,14 +142,16 @@ def near_duplicates(df: DataFrame, key: str, fields: dict[str, tuple[int, int]])
     Null, empty and short texts take no part. A repeated id with equal text
     counts once; other columns are ignored. An empty table gives empty results.
     """
-    rows = materialize(sketch_table(df, key, fields), "sketches")
-    members = rows.select("id", "field", "c1", "c2").distinct()
-    named = members.groupBy("field", "c1", "c2").agg(F.min("id").alias("rep"))
-    membership = materialize(members.join(named, ["field", "c1", "c2"]).select("id", "field", "rep"), "membership")
-    # Members other than the representative leave the search. They are few unless copies abound; their number decides the join.
-    others = membership.where("id <> rep").select("id", "field")
-    others = broadcast_if_small(others, others.count(), 64)
-    reps = rows.join(others, ["id", "field"], "left_anti").select(F.xxhash64("field", "id").alias("h"), F.col("id").alias("rep"), "field", "n", "bands", "sketch")
+    # Row numbers are stored with the rows: they compress better than hashes do, and the written table keeps them.
+    rows = materialize(sketch_table(df, key, fields).withColumn("h", F.monotonically_increasing_id()), "sketches")
+    members = rows.select("h", "id", "field", "c1", "c2")
+    named = members.groupBy("field", "c1", "c2").agg(F.min(F.struct("id", "h")).alias("m"))
+    members = materialize(members.join(named, ["field", "c1", "c2"]).select("h", "id", "field", F.col("m.id").alias("rep"), (F.col("h") == F.col("m.h")).alias("first")), "membership")
+    membership = members.select("id", "field", "rep").distinct()
+    # Rows other than their class's first leave the search. They are few unless copies abound; their number decides the join.
+    others = members.where("not first").select("h")
+    others = broadcast_if_small(others, others.count(), 16)
+    reps = rows.select("h", F.col("id").alias("rep"), "field", "n", "bands", "sketch").join(others, "h", "left_anti")
     post = reps.select("h", "n", F.explode("bands").alias("k"))
     a, b = post.alias("a"), post.alias("b")
     ratio = THRESHOLD / (2 - THRESHOLD)
@@ -157,12 +159,12 @@ def near_duplicates(df: DataFrame, key: str, fields: dict[str, tuple[int, int]])
     pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")) & fits).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
     # One shuffle by the first id serves the removal of repeats and the join with its sketch.
     pairs = pairs.repartition("ha").dropDuplicates(["ha", "hb"])
-    sk = reps.select("h", "sketch").dropDuplicates(["h"])
+    sk = reps.select("h", "sketch")
     both = pairs.join(sk.select(F.col("h").alias("ha"), F.col("sketch").alias("sa")), "ha").join(sk.select(F.col("h").alias("hb"), F.col("sketch").alias("sb")), "hb")
     differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
     likely = materialize(both.where(differ <= odd_limit()).select("ha", "hb"), "likely")
     # Only texts of a likely pair are read for the exact check.
-    need = likely.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().join(reps.select("h", "field", "rep").distinct(), "h")
+    need = likely.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().join(reps.select("h", "field", "rep"), "h")
     flat = df.select(F.col(key).cast("string").alias("rep"), F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f) for f in fields]))).alias("field", "text")).where("text is not null")
     texts = materialize(flat.join(need, ["rep", "field"]).groupBy("h", "field", "rep").agg(F.first("text").alias("text")), "likely-texts")
     left = texts.select(F.col("h").alias("ha"), "field", F.col("rep").alias("ra"), F.col("text").alias("ta"))
