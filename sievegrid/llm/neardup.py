@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from ..runtime import broadcast_if_small, materialize, ship
 from . import textvec
 
-SAMPLES, SKETCH_BITS = 320, 512
+SAMPLES, SKETCH_SAMPLES, SKETCH_BITS = 768, 320, 512
 #: Rows and bands of a field: prose of one domain shares more of its words by chance than code does, so it needs longer rows.
-CODE_BANDS, PROSE_BANDS = (7, 80), (9, 128)
+CODE_BANDS, PROSE_BANDS = (8, 104), (10, 160)
 MIN_WORDS, THRESHOLD = 20, 0.8
 WORD = re.compile(r"[A-Za-z0-9_]+")
 #: Texts hashed at once in a worker; bounds its memory.
@@ -40,7 +40,7 @@ def _constants(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return a, x, picks
 
 
-def odd_limit(threshold: float = THRESHOLD, samples: int = SAMPLES, bits: int = SKETCH_BITS, sigmas: float = 3.7) -> int:
+def odd_limit(threshold: float = THRESHOLD, samples: int = SKETCH_SAMPLES, bits: int = SKETCH_BITS, sigmas: float = 3.7) -> int:
     """Most differing bits that a pair at the threshold shows, but for a tail of `sigmas` deviations."""
     j = threshold / (2 - threshold)
     differ = 2 * samples * (1 - j)
@@ -73,10 +73,10 @@ def signatures(texts: list[str | None], salt: int, shape: tuple[int, int]) -> tu
             for j in picks[b]:
                 k = textvec.mix(k * np.uint64(31) + mins[j])
             keys[:, b] = k
-        bit = (textvec.mix(mins + np.arange(SAMPLES, dtype=np.uint64)[:, None]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        bit = (textvec.mix(mins[:SKETCH_SAMPLES] + np.arange(SKETCH_SAMPLES, dtype=np.uint64)[:, None]) % np.uint64(SKETCH_BITS)).astype(np.int64)
     parity = np.zeros((n, SKETCH_BITS), np.uint8)
     at = np.arange(n)
-    for j in range(SAMPLES):
+    for j in range(SKETCH_SAMPLES):
         parity[at, bit[j]] ^= 1
     sketch = np.packbits(parity, axis=1, bitorder="little").view(np.uint64)
     return w.n, cls, keys, sketch
