@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 WS = "[ \\t\\n\\r\\f]+"
 
@@ -160,7 +161,7 @@ def density_text(c: Column) -> Column:
     return F.least(F.lit(0.55), F.size(words(c)) / 50.0 * 0.4 + F.least(F.lit(0.15), 0.025 * kinds))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def byte_entropy(s: pd.Series) -> pd.Series:
     """Shannon entropy of the UTF-8 bytes, in bits; null for null, 0 for empty. Arrow batches, one numpy count per text."""
 

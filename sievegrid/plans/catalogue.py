@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import graph, records
+from ..operators import extract, formats, graph, records
+from ..sources import files
 from ..sources.tables import load
 from ..streaming import telemetry
 
@@ -559,3 +560,66 @@ def items_by_nation(spark, d):
     o = load(spark, d, "orders").select("o_orderkey", "o_custkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     c = load(spark, d, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(load(spark, d, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("n_name").agg(F.count("*").alias("orders"), F.sum("items").alias("items"))
+
+
+# Extraction and formats.
+@query()
+def python_slices(spark, d):
+    """Functions and classes of the Python nodes."""
+    s = records.once(load(spark, d, "aletheia_skill").where(F.lower("file").endswith(".py")).select("node_id", "code_snippet"), "node_id")
+    return extract.python_slices(s, "node_id", "code_snippet")
+
+
+@query("WITH p AS (SELECT DISTINCT payload_id, instruction, output FROM payload) SELECT payload_id, 2 AS turns, md5(instruction || '>' || output) AS digest FROM p WHERE regexp_matches(instruction, '[^ \t\n\r\f]') AND regexp_matches(output, '[^ \t\n\r\f]')")
+def payload_chats(spark, d):
+    p = records.once(load(spark, d, "payload").select("payload_id", "instruction", "output"), "payload_id")
+    c = p.select("payload_id", formats.chat(F.col("instruction"), F.col("output")).alias("m")).where("m is not null")
+    return c.select("payload_id", F.size("m").alias("turns"), F.md5(F.array_join(F.transform("m", lambda x: x["content"]), ">")).alias("digest"))
+
+
+@query("WITH c AS (SELECT DISTINCT chat_id, list_filter(messages, lambda m: m.role IN ('system', 'user', 'assistant') AND regexp_matches(m.content, '[^ \t\n\r\f]')) AS m FROM chatml) SELECT chat_id, CAST(len(m) + CASE WHEN len(list_filter(m, lambda x: x.role = 'system')) = 0 THEN 1 ELSE 0 END AS INT) AS turns FROM c WHERE len(list_filter(m, lambda x: x.role = 'user')) > 0 AND len(list_filter(m, lambda x: x.role = 'assistant')) > 0")
+def cleaned_chats(spark, d):
+    m = records.once(load(spark, d, "chatml").select("chat_id", "messages"), "chat_id")
+    return m.select("chat_id", formats.clean_messages(F.col("messages"), "You are a helpful assistant.").alias("m")).where("m is not null").select("chat_id", F.size("m").alias("turns"))
+
+
+@query()
+def documents_fingerprint(spark, d):
+    """A digest of the documents whatever their order."""
+    return files.fingerprint(load(spark, d, "documents"))
+
+
+@query("SELECT md5(line) AS digest FROM (SELECT DISTINCT json_object('mode', mode, 'project_name', project_name, 'request_id', request_id)::VARCHAR AS line FROM score_request)")
+def canonical_lines(spark, d):
+    """Requests as JSON with columns in the order of their names."""
+    r = load(spark, d, "score_request").select("request_id", "project_name", "mode").distinct()
+    return files.canonical(r).select(F.md5("line").alias("digest"))
+
+
+@query("SELECT node_id, CAST(len(regexp_extract_all(code_snippet, 'assert|pytest|raises|expect|raise ')) AS INT) AS signals, CASE WHEN regexp_matches(lower(file), 'test|spec|fixture|mock') THEN 'validation' WHEN regexp_matches(code_snippet, 'assert|raise ') THEN 'validation' ELSE 'execution' END AS skill FROM (SELECT DISTINCT node_id, file, code_snippet FROM aletheia_skill) WHERE code_snippet <> ''")
+def validation_profile(spark, d):
+    s = records.once(load(spark, d, "aletheia_skill").where("code_snippet <> ''").select("node_id", "file", "code_snippet"), "node_id")
+    c = F.col("code_snippet")
+    return s.select("node_id", F.regexp_count(c, F.lit("assert|pytest|raises|expect|raise ")).alias("signals"), F.when(F.lower("file").rlike("test|spec|fixture|mock") | c.rlike("assert|raise "), "validation").otherwise("execution").alias("skill"))
+
+
+@query("SELECT module, CASE WHEN regexp_matches(lower(module), 'cuda|gpu|tensor|cufft|torch|jax') THEN 'compute.accelerated' WHEN regexp_matches(lower(module), 'sql|db|mongo|redis|query') THEN 'io.database' WHEN regexp_matches(lower(module), 'http|request|fetch|socket') THEN 'io.network' ELSE 'compute.generic' END AS class FROM (SELECT DISTINCT unnest(imports) AS module FROM aletheia_skill)")
+def operation_classes(spark, d):
+    m = load(spark, d, "aletheia_skill").select(F.explode("imports").alias("module")).distinct()
+    low = F.lower("module")
+    return m.select("module", F.when(low.rlike("cuda|gpu|tensor|cufft|torch|jax"), "compute.accelerated").when(low.rlike("sql|db|mongo|redis|query"), "io.database").when(low.rlike("http|request|fetch|socket"), "io.network").otherwise("compute.generic").alias("class"))
+
+
+@query("WITH l AS (SELECT DISTINCT ledger_id, project_name, event_ts, ingest_ts FROM ledger) SELECT project_name, count(*) AS entries, count(*) FILTER (ingest_ts > event_ts + INTERVAL 1 DAY) AS late, min(event_ts) AS first_ts, max(event_ts) AS last_ts FROM l GROUP BY 1")
+def ledger_lateness(spark, d):
+    l = load(spark, d, "ledger").select("ledger_id", "project_name", "event_ts", "ingest_ts").distinct()
+    return l.groupBy("project_name").agg(F.count("*").alias("entries"), F.count_if(F.col("ingest_ts") > F.col("event_ts") + F.expr("INTERVAL 1 DAY")).alias("late"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
+
+
+@query("WITH s AS (SELECT DISTINCT node_id, project_name, imports FROM aletheia_skill WHERE imports IS NOT NULL), e AS (SELECT node_id, project_name, unnest(imports) AS m FROM s) SELECT a.m AS left_module, b.m AS right_module, count(*) AS n FROM (SELECT DISTINCT node_id, m FROM e) a JOIN (SELECT DISTINCT node_id, m FROM e) b USING (node_id) WHERE a.m < b.m GROUP BY ALL")
+def import_pairs(spark, d):
+    """How often two modules are imported together: pairs within a node's own list, which is short by nature."""
+    s = records.once(load(spark, d, "aletheia_skill").where("imports is not null").select("node_id", "imports"), "node_id")
+    m = F.array_sort(F.array_distinct("imports"))
+    p = s.select(F.explode(F.flatten(F.transform(m, lambda a: F.transform(F.filter(m, lambda b: b > a), lambda b: F.struct(a.alias("left_module"), b.alias("right_module")))))).alias("p"))
+    return p.groupBy("p.left_module", "p.right_module").agg(F.count("*").alias("n"))
