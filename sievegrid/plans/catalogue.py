@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import extract, formats, graph, records
+from ..operators import extract, formats, graph, records, similar
 from ..sources import files
 from ..sources.tables import load
 from ..streaming import telemetry
@@ -419,6 +419,11 @@ def vector_norms(spark, d):
     return load(spark, d, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 4).alias("norm"))
 
 
+@query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS cos FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.95")
+def cosine_redundancy(spark, d):
+    return similar.redundant_pairs(load(spark, d, "embeddings"), "vec_id", "embedding").withColumn("cos", F.round("cos", 4))
+
+
 # Graph of calls between nodes.
 _EDGES = "n AS (SELECT DISTINCT node_id, dependencies.downstream_calls AS calls FROM aletheia_skill), e AS (SELECT DISTINCT node_id AS src, c AS dst FROM (SELECT node_id, unnest(calls) AS c FROM n) WHERE c <> node_id AND c IN (SELECT node_id FROM n))"
 

@@ -75,3 +75,23 @@ def test_gates_take_nulls_and_blanks(spark):
     assert [r.u for r in rows] == [False, False, False, True, True]
     assert [r.n for r in rows] == [0, 0, 1, 38, 50000]
     assert rows[0].e is None and rows[1].e == 0.0
+
+
+def test_redundant_pairs_match_brute_force(spark):
+    import numpy as np
+
+    from sievegrid.operators import similar
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((80, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + 0.12 * rng.standard_normal(base.shape), base[:5]]))] + [(900, None), (901, [0.0] * 16), (0, base[0].tolist())]
+    df = spark.createDataFrame(rows, "k bigint, v array<double>")
+    got = {(r.a, r.b) for r in similar.redundant_pairs(df, "k", "v").collect()}
+    m = {k: np.array(v) for k, v in rows if v is not None and any(v)}
+    cos = lambda x, y: float(x @ y / np.linalg.norm(x) / np.linalg.norm(y))
+    want = {(a, b) for a in m for b in m if a < b and cos(m[a], m[b]) >= 0.95}
+    # Of equal vectors, links run from the least key.
+    least = {k: min(j for j in m if (m[j] == m[k]).all()) for k in m}
+    want = {(a, b) for a, b in want if least[a] == a and (least[b] == b or least[b] == a)}
+    assert len(got ^ want) <= 0.02 * len(want) and len(want) > 60
+    assert similar.redundant_pairs(df.where("false"), "k", "v").count() == 0
