@@ -82,8 +82,8 @@ def signatures(texts: list[str | None], salt: int, shape: tuple[int, int]) -> tu
     return w.n, cls, keys, sketch
 
 
-def _lists(m: np.ndarray) -> pa.ListArray:
-    flat = pa.array(np.ascontiguousarray(m).view(np.int64).ravel())
+def _lists(m: np.ndarray, kind: type = np.int64) -> pa.ListArray:
+    flat = pa.array(np.ascontiguousarray(m).view(kind).ravel())
     return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), flat)
 
 
@@ -105,13 +105,13 @@ def sketch_table(df: DataFrame, key: str, fields: dict[str, tuple[int, int]]) ->
                     n, cls, keys, sketch = signatures(texts[at:to], f, shape)
                     ok = np.flatnonzero(n >= MIN_WORDS)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(at, to - at).take(pa.array(ok)), pa.array([name] * len(ok), pa.string()), pa.array(n[ok].astype(np.int32)), pa.array(cls[0, ok].view(np.int64)), pa.array(cls[1, ok].view(np.int64)), _lists(keys[ok]), _lists(sketch[ok])],
+                        [ids.slice(at, to - at).take(pa.array(ok)), pa.array([name] * len(ok), pa.string()), pa.array(n[ok].astype(np.int32)), pa.array(cls[0, ok].view(np.int64)), pa.array(cls[1, ok].view(np.int64)), _lists((keys[ok] >> np.uint64(32)).astype(np.uint32), np.int32), _lists(sketch[ok])],
                         names=["id", "field", "n", "c1", "c2", "bands", "sketch"],
                     )
                     at = to
 
     rows = df.select(F.col(key).cast("string").alias("id"), *[F.col(c) for c in fields])
-    return rows.mapInArrow(run, "id string, field string, n int, c1 bigint, c2 bigint, bands array<bigint>, sketch array<bigint>")
+    return rows.mapInArrow(run, "id string, field string, n int, c1 bigint, c2 bigint, bands array<int>, sketch array<bigint>")
 
 
 def dice(a: str, b: str) -> float:
@@ -152,7 +152,12 @@ def near_duplicates(df: DataFrame, key: str, fields: dict[str, tuple[int, int]])
     others = members.where("not first").select("h")
     others = broadcast_if_small(others, others.count(), 16)
     reps = rows.select("h", F.col("id").alias("rep"), "field", "n", "bands", "sketch").join(others, "h", "left_anti")
-    post = reps.select("h", "n", F.explode("bands").alias("k"))
+    # A key is its field, its band's number and 32 bits of hash: texts that meet by chance are about one per text and
+    # band for 2 ** 32 texts, and the sketches take them out.
+    code = F.lit(0)
+    for i, name in enumerate(fields):
+        code = F.when(F.col("field") == name, F.lit(i)).otherwise(code)
+    post = reps.select("h", "n", code.alias("f"), F.posexplode("bands").alias("p", "k")).select("h", "n", ((F.col("f") * 4096 + F.col("p")).cast("bigint") * (1 << 32) + F.col("k").cast("bigint")).alias("k"))
     a, b = post.alias("a"), post.alias("b")
     ratio = THRESHOLD / (2 - THRESHOLD)
     fits = (F.col("a.n") >= F.col("b.n") * ratio - 1e-6) & (F.col("b.n") >= F.col("a.n") * ratio - 1e-6)
