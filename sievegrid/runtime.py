@@ -26,11 +26,13 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(PACKAGE.rglob("*.py")):
             z.write(p, str(Path(PACKAGE.name) / p.relative_to(PACKAGE)))
-    # addPyFile copies the archive to the driver's file server, which serves it to executors joining later, too.
-    d = tempfile.mkdtemp(prefix="sievegrid-ship-")
-    path = os.path.join(d, f"{PACKAGE.name}_src.zip")
-    Path(path).write_bytes(buf.getvalue())
-    spark.sparkContext.addPyFile(path)
+    # The archive lies in the shared folder, so executors that join later find it, too.
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/code-{uuid.uuid4().hex}/{PACKAGE.name}_src.zip")
+    out = path.getFileSystem(conf).create(path)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path.toString())
     _shipped.add(app)
 
 
