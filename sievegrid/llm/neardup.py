@@ -170,6 +170,8 @@ def near_duplicates(df: DataFrame, key: str, fields: dict[str, tuple[int, int]])
     likely = materialize(both.where(differ <= odd_limit()).select("ha", "hb"), "likely")
     # Only texts of a likely pair are read for the exact check.
     need = likely.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().join(reps.select("h", "field", "rep"), "h")
+    need = materialize(need, "needed")
+    need = broadcast_if_small(need, need.count(), 96)  # small unless a good part of all texts has a near duplicate
     flat = df.select(F.col(key).cast("string").alias("rep"), F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f) for f in fields]))).alias("field", "text")).where("text is not null")
     texts = materialize(flat.join(need, ["rep", "field"]).groupBy("h", "field", "rep").agg(F.first("text").alias("text")), "likely-texts")
     left = texts.select(F.col("h").alias("ha"), "field", F.col("rep").alias("ra"), F.col("text").alias("ta"))
