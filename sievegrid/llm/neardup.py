@@ -164,7 +164,7 @@ def near_duplicates(df: DataFrame, key: str, fields: dict[str, tuple[int, int]])
     pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")) & fits).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
     # One shuffle by the first id serves the removal of repeats and the join with its sketch.
     pairs = pairs.repartition("ha").dropDuplicates(["ha", "hb"])
-    sk = reps.select("h", "sketch")
+    sk = broadcast_if_small(reps.select("h", "sketch"), members.where("first").count(), SKETCH_BITS // 8 + 24)
     both = pairs.join(sk.select(F.col("h").alias("ha"), F.col("sketch").alias("sa")), "ha").join(sk.select(F.col("h").alias("hb"), F.col("sketch").alias("sb")), "hb")
     differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
     likely = materialize(both.where(differ <= odd_limit()).select("ha", "hb"), "likely")
