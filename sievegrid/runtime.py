@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -55,3 +56,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, n_rows: int, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """A broadcast hint only when the counted rows prove the size; otherwise Catalyst picks a shuffled join."""
     return F.broadcast(df) if n_rows * row_bytes <= limit else df
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are over; it does so when the driver's JVM collects their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -66,3 +66,25 @@ def test_sketch_limit_keeps_similar_pairs():
         _, _, _, s = neardup.signatures([" ".join(base), " ".join(other)], 0, neardup.CODE_BANDS)
         lost += int(np.unpackbits((s[0] ^ s[1]).view(np.uint8)).sum()) > neardup.odd_limit()
     assert lost == 0
+
+
+def test_pairs_at_the_threshold_are_found_in_both_fields(spark):
+    rng = random.Random(11)
+    rows, want = [], set()
+    for i in range(800):
+        n = rng.choice([50, 100, 150])
+        # Each pair has words of its own, so that no other pair of texts is alike.
+        base = [f"p{i}w{k}" for k in range(n)]
+        other = base[:]
+        for k in rng.sample(range(n), round(n * rng.choice([0.2, 0.18]))):
+            other[k] = f"p{i}x{k}"
+        a, b = " ".join(base), " ".join(other)
+        assert 0.8 <= neardup.dice(a, b) <= 0.82
+        rows += [(f"n{i:03}a", a, a), (f"n{i:03}b", b, b)]
+        want.add((f"n{i:03}a", f"n{i:03}b"))
+    df = spark.createDataFrame(rows, "id string, a string, b string")
+    got = neardup.expand(*neardup.near_duplicates(df, "id", FIELDS)).collect()
+    for field in FIELDS:
+        found = {(r.id_a, r.id_b) for r in got if r.field == field}
+        assert found <= want
+        assert len(found) >= 0.998 * len(want), field
