@@ -22,7 +22,8 @@ from ..runtime import ship
 from . import textvec
 
 BITS = 20
-#: Bounds of the labelled sample that the model is fitted on, by class; rows are taken in the order of a hash of the key.
+#: Bounds of the labelled sample that the model is fitted on, by class; rows are taken in the order of a hash of the key and
+#: weighted against the bounds.
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 3000
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.3, 0.1, 2
 
@@ -111,18 +112,20 @@ class Ftrl:
 INTERCEPT = -4.0
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[str], y: np.ndarray, share: np.ndarray | None = None, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights per bucket and the score from which a document counts as harmful.
 
     Two halves of the documents judge each other: a passage of a harmful
     document stays positive if the model of the other half finds it harmful,
     so a benign document labelled harmful by mistake teaches nothing. The
     threshold has the best F1 on the scores that documents got from the half
-    they were not in.
+    they were not in. share is how many labelled documents each text stands for
+    (1 if not given): fit and threshold are for the ratio of all of them.
     """
     if not len(texts) or not y.any() or y.all():
         return np.zeros(1 << BITS, np.float32), 0.0
     rng = np.random.default_rng(seed)
+    share = np.ones(len(texts)) if share is None else share
     bucket, passage, row = features([normalise(t) for t in texts])
     order = np.argsort(passage, kind="stable")
     bucket, passage = bucket[order], passage[order]
@@ -136,7 +139,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, f
     for least in SELECT:
         for fold in (0, 1):
             own = half[row] == fold
-            w = _fit(bucket, starts, target, active & ~own, rng)
+            w = _fit(bucket, starts, target, active & ~own, share[row], rng)
             held = np.where(own, _passage_scores(w, bucket, starts), held)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, row, held)
@@ -144,18 +147,18 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, f
         target = chosen.astype(float)
         # The other passages of a harmful document are left out; so are those of a harmless one that look harmful by far.
         active = (~positive & (held < DOUBTFUL)) | chosen
-    cut = _best_cut(best, y)
-    return _fit(bucket, starts, target, active, rng).astype(np.float32), cut
+    cut = _best_cut(best, y, share)
+    return _fit(bucket, starts, target, active, share[row], rng).astype(np.float32), cut
 
 
 #: Scores by the other half that keep a passage positive, round by round; and that make a harmless label doubtful.
 SELECT, DOUBTFUL = (-2.5, -1.5), 2.5
 
 
-def _fit(bucket, starts, target, active, rng):
+def _fit(bucket, starts, target, active, weight, rng):
     model = Ftrl()
     for _ in range(EPOCHS):
-        model.fit(bucket, starts, target, np.ones(len(starts)), rng.permutation(np.flatnonzero(active)))
+        model.fit(bucket, starts, target, weight, rng.permutation(np.flatnonzero(active)))
     return model.weights()
 
 
@@ -163,22 +166,28 @@ def _passage_scores(w, bucket, starts):
     return np.add.reduceat(w[bucket], starts) + INTERCEPT
 
 
-def _best_cut(score: np.ndarray, y: np.ndarray) -> float:
+def _best_cut(score: np.ndarray, y: np.ndarray, share: np.ndarray) -> float:
     order = np.argsort(-score)
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits = np.cumsum((y * share)[order])
+    f1 = 2 * hits / (np.cumsum(share[order]) + hits[-1])
     k = int(np.argmax(f1))
     below = score[order[k + 1]] if k + 1 < len(y) else score[order[k]] - 1
     return float((score[order[k]] + below) / 2)
 
 
-def sample(labels: DataFrame, documents: DataFrame, key: str, text: str, toxic: str) -> tuple[list[str], np.ndarray]:
-    """At most MAX_POSITIVE and MAX_NEGATIVE labelled texts; two annotators that disagree are left out."""
+def sample(labels: DataFrame, documents: DataFrame, key: str, text: str, toxic: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """At most MAX_POSITIVE and MAX_NEGATIVE labelled texts, their labels and shares; two annotators that disagree are left out.
+
+    A text's share is the inverse of the rate at which its class was taken,
+    over the least of both: the shares keep the ratio of the classes.
+    """
     lab = labels.where(F.col(toxic).isNotNull()).groupBy(key).agg(F.min(toxic).alias("lo"), F.max(toxic).alias("hi")).where("lo = hi")
-    parts = [lab.where(f"hi = {c}").orderBy(F.xxhash64(key), key).limit(n) for c, n in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
+    most = {1: MAX_POSITIVE, 0: MAX_NEGATIVE}
+    rate = {c: min(1.0, most[c] / n) for c, n in lab.where("hi in (0, 1)").groupBy("hi").count().collect()}
+    parts = [lab.where(f"hi = {c}").orderBy(F.xxhash64(key), key).limit(n) for c, n in most.items()]
     rows = documents.select(key, text).join(F.broadcast(parts[0].unionByName(parts[1])), key).where(F.col(text).isNotNull()).select(key, text, "hi").collect()
     rows.sort(key=lambda r: str(r[0]))
-    return [r[1] for r in rows], np.array([r[2] for r in rows], dtype=int)
+    return [r[1] for r in rows], np.array([r[2] for r in rows], dtype=int), np.array([max(rate.values()) / rate[r[2]] for r in rows])
 
 
 def score(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:

@@ -49,3 +49,24 @@ def test_tables(spark):
     assert len(got) == 244 and all(not got[k].harmful and got[k].score == 0 for k in (900, 901, 902))
     assert X.score(docs, labels.where("false")).where("harmful").count() == 0
     assert X.score(docs.where("false"), labels).count() == 0
+
+
+def test_bounds_of_the_sample_do_not_move_the_threshold(spark, monkeypatch):
+    doubtful = "What a strange and grumpy remark about that."
+    rows = []
+    for i in range(2100):
+        parts = [NICE[k % len(NICE)].replace("planner", f"planner{i}") for k in (i, i + 1)]
+        parts += [RUDE[i % 3]] if i < 50 else [doubtful] if i < 300 else []
+        rows.append((i, " ".join(parts), int(i < 100)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+
+    def harmful():
+        return {r.doc_id for r in X.score(df.select("doc_id", "text"), df.select("doc_id", "toxic")).where("harmful").collect()}
+
+    # 50 of the 250 doubtful documents are labelled harmful: too few, whatever part of the 2,000 harmless ones is taken.
+    assert harmful() == set(range(50))
+    monkeypatch.setattr(X, "MAX_NEGATIVE", 200)
+    assert harmful() == set(range(50))
+    monkeypatch.setattr(X, "MAX_POSITIVE", 60)
+    _, y, share = X.sample(df.select("doc_id", "toxic"), df.select("doc_id", "text"), "doc_id", "text", "toxic")
+    assert abs((y * share).sum() / share.sum() - 100 / 2100) < 1e-9 and share.min() == 1
