@@ -24,8 +24,8 @@ from ..runtime import broadcast_if_small, materialize, ship
 
 #: A spelling is corrected only to one so many times as frequent, which occurs so often.
 RATIO, VOCABULARY_COUNT, MIN_LENGTH = 8, 4, 4
-#: Spellings of letters only that occur so often are words of their own unless the other is so many times as frequent.
-ATTESTED, ATTESTED_RATIO = 5, 45
+#: Log-odds, before it is asked where they occur, that odd words without a candidate are misread.
+ODD_PRIOR = 3.6
 #: Words held by a task before they are passed on; frequent words that the second pass need not look up.
 HELD_WORDS, KNOWN_WORDS = 400_000, 40_000
 #: Bounds of the samples that the ranking and the line classifier are fitted on.
@@ -38,6 +38,8 @@ LETTER = {"0": "o", "1": "l", "|": "l", "!": "i", "5": "s", "9": "g", "6": "b",
 
 WORD = re.compile(r"[^\W_](?:[^\W_]|[|!$](?=[^\W_]))*[|](?![\w|])|[^\W_](?:[^\W_]|[|!$](?=[^\W_]))*|[|!](?=[a-z])(?:[^\W_]|[|!](?=[^\W_]))+")
 COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
+ODD = r"^[^\W\d_]+[015|!9]{1,2}[^\W\d_]+$"
+IS_ODD = re.compile(ODD)
 CODE = re.compile(r"`[^`\n]*`|\S*[_/\\]\S*|\b\w+\([^)\s]*\)|https?:\S+")
 PAGE = re.compile(r"^[\W_]{0,4}(?:(?:page|pg|p|seite|s|página|pag|pág|folio|f|第)\.?\s*)?(?:\d{1,4}|(?=[ivxlcdm])[ivxlcdm]{1,12})(?:\s*(?:of|von|de|sur|/)\s*\d{1,4}|\s*页)?[\W_]{0,4}$", re.I)
 PAGE_BAD = re.compile(r"^\d+[.):]\s*$|^[-*+#>]\s*\d*$|^[^\w\s]+$|^(?:i|I|mm|cm|di|mix|mild|civil|vivid|dim|mid|lid|mimic|ill|mill|dill|did)$|%|[$€£=<>]")
@@ -56,25 +58,31 @@ def is_prose(text: str) -> bool:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts, counted within each task first."""
+    """(word, n, m) over all texts, counted within each task first; m: occurrences in texts that hold another odd word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        beside: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            b = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64()), pa.array([beside[w] for w in held], pa.int64())], names=["word", "n", "m"])
             held.clear()
+            beside.clear()
             return b
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t and is_prose(t):
-                    held.update(words_of(t))
+                    words = words_of(t)
+                    held.update(words)
+                    odd = {w for w in words if not w.isalpha() and IS_ODD.match(w)}
+                    if odd:
+                        beside.update(words if len(odd) > 1 else (w for w in words if w not in odd))
             if len(held) > HELD_WORDS:
                 yield flush()
         yield flush()
 
-    return texts.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "word string, n bigint, m bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 @lru_cache(maxsize=200_000)
@@ -182,13 +190,14 @@ def fit_ranking(vocabulary: list[tuple[str, int]], rivals: list[tuple[str, str,
     words = {w for w, _ in vocabulary}
     for w, n in vocabulary:
         s = corrupt(w, rng)
+        ns = max(1, int((n / RATIO) ** rng.random()))  # any count that the ratio allows, whatever the size of the corpus
         if s != w and s not in words:
-            x.append(pair_features(s, w, 1 + int(rng.integers(max(1, min(5, n // RATIO)))), n))
+            x.append(pair_features(s, w, ns, n))
             y.append(1)
         i = int(rng.integers(1, len(w)))
         s = (w[:i] + "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] + w[i + int(rng.integers(2)) :])
         if s != w and s not in words and confusion_cost(s, w) >= 1:
-            x.append(pair_features(s, w, 1, n))
+            x.append(pair_features(s, w, ns, n))
             y.append(0)
     for s, c, ns, nc in rivals:
         if confusion_cost(s, c) >= 0.7:
@@ -203,12 +212,15 @@ def corrections(words: DataFrame) -> DataFrame:
     """(word, right) of each spelling that the ranking takes for a misreading.
 
     Grams carry their position, so a spelling meets only words with the same
-    letters at about the same place; every gram counts, however common.
+    letters at about the same place; every gram counts, however common. The
+    log-odds of the ranking are added to those of the place: misread words keep
+    company with other odd words, a rare word of its own does not. No count
+    alone rules a spelling out, so what is found in a table is found in a larger one.
     """
     spark = words.sparkSession
     long = words.where(F.length("word").between(MIN_LENGTH, 40) & ~F.col("word").contains("-"))
     vocab = long.where((F.col("n") >= VOCABULARY_COUNT) & ~F.col("word").rlike(r"[0-9|!$]")).select(F.col("word").alias("c"), F.col("n").alias("nc"))
-    suspects = long.select(F.col("word").alias("s"), F.col("n").alias("ns"))
+    suspects = long.select(F.col("word").alias("s"), F.col("n").alias("ns"), F.col("m").alias("ms"))
 
     def grams(df: DataFrame, w: str, shifts: tuple[int, ...]) -> DataFrame:
         padded = F.concat(F.lit("^"), F.col(w), F.lit("$"))
@@ -217,8 +229,7 @@ def corrections(words: DataFrame) -> DataFrame:
         return df.withColumn("g", F.explode(g))
 
     met = grams(suspects, "s", (0,)).join(grams(vocab, "c", (-1, 0, 1)), "g").where((F.col("nc") >= RATIO * F.col("ns")) & (F.abs(F.length("s") - F.length("c")) <= 2) & (F.col("s") != F.col("c")))
-    own = (F.col("ns") >= ATTESTED) & ~F.col("s").rlike(r"[0-9|!$]") & (F.col("nc") < ATTESTED_RATIO * F.col("ns"))
-    shared = met.where(~own).groupBy("s", "c").agg(F.count("*").alias("k"), F.first("ns").alias("ns"), F.first("nc").alias("nc"))
+    shared = met.groupBy("s", "c").agg(F.count("*").alias("k"), F.first("ns").alias("ns"), F.first("nc").alias("nc"), F.first("ms").alias("ms"))
     near = shared.where((F.col("k") >= F.greatest(F.lit(1), F.floor((F.length("s") - 1) / 3))) & (F.levenshtein(F.col("s"), F.col("c")) <= 3))
     # Short words with two misread letters share no gram: letters for digits give them candidates, too.
     plain = suspects.where(F.col("s").rlike(r"[0-9|!$]"))
@@ -226,22 +237,30 @@ def corrections(words: DataFrame) -> DataFrame:
     tables = []
     for digits in ("015|!96843$72", "0i5|i96843$72"):
         tables.append(F.translate("s", digits, "".join(LETTER.get(ch, ch) for ch in digits)))
-    decoded = read.select("s", "ns", F.explode(F.array(*tables)).alias("c")).join(vocab, "c").where(F.col("nc") >= RATIO * F.col("ns")).select("s", "c", F.lit(9).cast("bigint").alias("k"), "ns", "nc")
+    decoded = read.select("s", "ns", "ms", F.explode(F.array(*tables)).alias("c")).join(vocab, "c").where(F.col("nc") >= RATIO * F.col("ns")).select("s", "c", F.lit(9).cast("bigint").alias("k"), "ns", "nc", "ms")
     pairs = materialize(near.unionByName(decoded).dropDuplicates(["s", "c"]), "corrections")
     top = [(r[0], r[1]) for r in vocab.where(F.col("nc") >= 4 * RATIO).orderBy(F.xxhash64("c")).limit(SAMPLE_PAIRS).collect()]
     rivals = [(r[0], r[1], r[2], r[3]) for r in pairs.where(F.col("ns") >= VOCABULARY_COUNT * 4).where(~F.col("s").rlike(r"[0-9|!$]")).orderBy(F.xxhash64("s", "c")).limit(SAMPLE_PAIRS).select("s", "c", "ns", "nc").collect()]
     model = spark.sparkContext.broadcast(fit_ranking(sorted(top), sorted(rivals)))
+    # How often words that are misread for sure, and words at all, stand beside another odd word.
+    sure = pairs.where(F.col("s").rlike(ODD)).select("s", "ns", "ms").distinct().agg(F.sum("ms"), F.sum("ns")).first()
+    all_ = words.agg(F.sum("m"), F.sum("n")).first()
+    q1, q0 = (((r[0] or 0) + 1) / ((r[1] or 0) + 2) for r in (sure, all_))
+    q1 = max(q1, q0)
+    hit, miss = math.log(q1 / q0), math.log((1 - q1) / (1 - q0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(zip(*(b.column(i).to_pylist() for i in range(4))))
+            beside = b.column(4).to_pylist()
             p = model.value.predict(np.array([pair_features(*r) for r in rows])) if rows else np.zeros(0)
-            keep = [i for i, r in enumerate(rows) if p[i] >= 0.5 and confusion_cost(r[0], r[1]) < 0.9]
+            place = [m * hit + (r[2] - m) * miss for r, m in zip(rows, beside)]
+            keep = [i for i, r in enumerate(rows) if p[i] >= 0.5 and math.log(p[i] / max(1e-9, 1 - p[i])) + place[i] >= 0 and confusion_cost(r[0], r[1]) < 0.9]
             yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in keep], pa.string()), pa.array([rows[i][1] for i in keep], pa.string()), pa.array([float(p[i]) for i in keep], pa.float64())], names=["word", "right", "p"])
 
-    ranked = pairs.select("s", "c", "ns", "nc").mapInArrow(run, "word string, right string, p double")
+    ranked = pairs.select("s", "c", "ns", "nc", "ms").mapInArrow(run, "word string, right string, p double")
     # A rare word of letters with a digit or bar inside is misread even where the right word is not in the vocabulary.
-    inside = suspects.where((F.col("ns") <= 3) & F.col("s").rlike(r"^[^\W\d_]+[015|!9]{1,2}[^\W\d_]+$") & (F.length("s") >= 6)).select(F.col("s").alias("word"), tables[0].alias("right"), F.lit(0.0).alias("p"))
+    inside = suspects.where(F.col("s").rlike(ODD) & (F.length("s") >= 6) & (F.col("ms") * hit + (F.col("ns") - F.col("ms")) * miss + ODD_PRIOR >= 0)).select(F.col("s").alias("word"), tables[0].alias("right"), F.lit(0.0).alias("p"))
     ranked = ranked.unionByName(inside)
     return ranked.groupBy("word").agg(F.max_by("right", F.struct("p", "right")).alias("right"))
 

@@ -68,3 +68,15 @@ def test_noise_is_found_and_repaired(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "tbl string, rec_key string, text string")
     assert S.analyse(df)[1].count() == 0
+
+
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_corrections_do_not_depend_on_the_size_of_the_corpus(spark, times):
+    words = [(w, 400 + 7 * i, 80) for i, w in enumerate(["studies", "gateway", "planner", "keyring", "ledger", "second", "reason", "prompt", "outer", "because", "settle", "quiet", "often", "share", "though", "margin"])]
+    # Word, how often, how often beside another odd word.
+    odd = [("p1anner", 8, 6), ("rea5on", 6, 5), ("pr0mpt", 7, 5), ("gatewa9", 1, 1), ("zorbel1an", 3, 3)]
+    letters = [("studics", 11, 8), ("lcdger", 9, 7), ("offen", 35, 0), ("sha1sum", 40, 0)]
+    rows = [(w, n * times, m * times) for w, n, m in words + odd + letters]
+    got = {r.word: r.right for r in S.corrections(spark.createDataFrame(rows, "word string, n bigint, m bigint")).collect()}
+    assert {"studics": "studies", "lcdger": "ledger", "p1anner": "planner", "rea5on": "reason", "pr0mpt": "prompt", "zorbel1an": "zorbellan"}.items() <= got.items()
+    assert "offen" not in got and "sha1sum" not in got
