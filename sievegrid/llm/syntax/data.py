@@ -15,10 +15,30 @@ def check_json(text: str) -> list[Error]:
     errors: list[Error] = []
     stack: list[str] = []
     want = "value"  # value, first (value or close), key, firstkey, colon, next, end
-    for m in JSON_TOKEN.finditer(text):
-        kind, tok = m.lastindex, m[m.lastindex]
+    panic, inner, at = False, 0, 0  # skipping behind an error, up to a comma or bracket outside of brackets opened meanwhile
+    while m := JSON_TOKEN.search(text, at):
+        kind, tok, at = m.lastindex, m[m.lastindex], m.end()
         if kind == 4:
             break
+        if kind == 5 and tok == '"':
+            at = max(at, JSON_BROKEN.match(text, m.start(5)).end())
+        if panic:
+            if kind != 3:
+                continue
+            if tok in "[{":
+                if not stack and want == "value":
+                    panic = False
+                else:
+                    inner += 1
+                    continue
+            elif tok in "]}" and inner:
+                inner -= 1
+                continue
+            elif inner or tok == ":":
+                continue
+            else:
+                panic, want = _resume(stack, tok, want)
+                continue
         bad = kind == 5
         if kind in (1, 2):
             if want in ("value", "first"):
@@ -42,12 +62,32 @@ def check_json(text: str) -> list[Error]:
                 bad = True
         if bad:
             errors.append(Error(text.count("\n", 0, m.start(m.lastindex)) + 1, f"unexpected {tok[:20]!r}, {want} expected"))
-            break
-    if not errors and want != "end":
+            panic, inner = True, 0
+            if kind == 3 and tok in "[{":
+                inner = 1
+            elif kind == 3 and tok != ":":
+                panic, want = _resume(stack, tok, want)
+    if want != "end" and (stack or not errors):
         errors.append(Error(text.count("\n") + 1, "unexpected end"))
     return errors
 
 
+#: A string that is none: up to its closing quote or the end of its line.
+JSON_BROKEN = re.compile(r'"(?:[^"\\\n]|\\.)*"?')
+
+
+def _resume(stack: list[str], tok: str, want: str) -> tuple[bool, str]:
+    """(panic, want) at a comma or closing bracket behind an error."""
+    if tok == ",":
+        return (False, "value" if stack[-1] == "[" else "key") if stack else (True, want)
+    opener = "[" if tok == "]" else "{"
+    if opener in stack:
+        while stack.pop() != opener:
+            pass
+        return False, "next" if stack else "end"
+    return True, want
+
+
 KEY = r"(?:[A-Za-z0-9_-]+|\"(?:[^\"\\\n]|\\.)*\"|'[^'\n]*')"
 TOML_KEY = re.compile(rf"[ \t]*({KEY}(?:[ \t]*\.[ \t]*{KEY})*)[ \t]*")
 TOML_PART = re.compile(KEY)
@@ -205,6 +245,7 @@ Y_END = re.compile(r"[ \t]*(?:(?<=[ \t])#.*|$)|[ \t]+#.*$")
 
 class _Yaml:
     def __init__(self, text: str):
+        self.errors: list[Error] = []
         self.lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
         self.i = 0
         self.anchors: set[str] = set()
@@ -227,32 +268,53 @@ class _Yaml:
             return len(raw) - len(body), body
         return None
 
-    def document(self) -> None:
-        while (at := self.skip()) and at[1].startswith("%") and at[0] == 0:
+    def recover(self, bad: _YamlBad, indent: int, start: int) -> None:
+        """Moves behind an error to the next line of this indentation or less, or the next document."""
+        self.errors.append(Error(bad.line, bad.cause))
+        self.i = max(start + 1, bad.line)
+        while self.i < len(self.lines):
+            raw = self.lines[self.i]
+            body = raw.strip(" \t")
+            if body and body[0] != "#" and raw[len(raw) - len(raw.lstrip(" "))] != "\t" and len(raw) - len(raw.lstrip(" ")) <= indent:
+                return
             self.i += 1
-        first = True
-        while at := self.skip():
-            if at[0] == -1:
-                rest = at[1][3:].strip()
-                if at[1].startswith("..."):
-                    if rest and rest[0] != "#":
-                        self.fail("text after document end")
+
+    def document(self) -> None:
+        first = head = True
+        while True:
+            start, indent = self.i, 0
+            try:
+                at = self.skip()
+                if not at:
+                    return
+                if head and at[1].startswith("%") and at[0] == 0:
                     self.i += 1
+                    continue
+                head = False
+                indent = max(0, at[0])
+                if at[0] == -1:
+                    rest = at[1][3:].strip()
                     first = True
+                    if at[1].startswith("..."):
+                        if rest and rest[0] != "#":
+                            self.fail("text after document end")
+                        self.i += 1
+                        continue
+                    self.anchors = set()
+                    if rest and rest[0] != "#":
+                        self.lines[self.i] = "   " + at[1][3:]
+                        self.node(3, self.skip(), -1)
+                        first = False
+                        continue
+                    self.i += 1
                     continue
-                self.anchors = set()
+                if not first:
+                    self.fail("text after the document's node")
+                self.node(at[0], at, -1)
+                first = False
+            except _YamlBad as e:
                 first = True
-                if rest and rest[0] != "#":
-                    self.lines[self.i] = "   " + at[1][3:]
-                    self.node(3, self.skip(), -1)
-                    first = False
-                    continue
-                self.i += 1
-                continue
-            if not first:
-                self.fail("text after the document's node")
-            self.node(at[0], at, -1)
-            first = False
+                self.recover(e, indent, start)
 
     def node(self, indent: int, at: tuple[int, str], parent: int) -> None:
         """A block node whose first line is the current one."""
@@ -279,7 +341,22 @@ class _Yaml:
         return _plain_key(body)
 
     def sequence(self, indent: int) -> None:
-        while (at := self.skip()) and at[0] == indent and at[1][0] == "-" and (len(at[1]) == 1 or at[1][1] in " \t"):
+        self.block(indent, self.item)
+
+    def block(self, indent: int, part) -> None:
+        """Parts of one indentation, until `part` says that there is none; a bad one is left behind."""
+        while True:
+            start = self.i
+            try:
+                at = self.skip()
+                if not at or at[0] != indent or not part(indent, at):
+                    self.closed(indent, at)
+                    return
+            except _YamlBad as e:
+                self.recover(e, indent, start)
+
+    def item(self, indent: int, at: tuple[int, str]) -> bool:
+        if at[1][0] == "-" and (len(at[1]) == 1 or at[1][1] in " \t"):
             rest = at[1][1:]
             inner = rest.lstrip(" \t")
             if not inner or inner[0] == "#":
@@ -287,13 +364,14 @@ class _Yaml:
                 nxt = self.skip()
                 if nxt and nxt[0] > indent:
                     self.node(nxt[0], nxt, indent)
-                continue
+                return True
             if "\t" in rest[: len(rest) - len(inner)] and (inner[0] == "-" or self.key(inner)):
                 self.fail("tab in indentation")
             deeper = indent + 1 + len(rest) - len(inner)
             self.lines[self.i] = " " * deeper + inner
             self.entry(deeper, inner, indent)
-        self.closed(indent, at)
+            return True
+        return False
 
     def entry(self, indent: int, body: str, parent: int) -> None:
         p = Y_PROPS.match(body)
@@ -308,32 +386,30 @@ class _Yaml:
         self.node(indent, (indent, body), parent)
 
     def mapping(self, indent: int) -> None:
-        seen: set[str] = set()
-        while (at := self.skip()) and at[0] == indent:
-            body = at[1]
-            m = self.key(body)
-            if not m:
-                if body[0] == "-" and (len(body) == 1 or body[1] in " \t"):
-                    self.fail("sequence entry where a key is expected")
-                self.fail("key expected")
-            k = m[0].rstrip(": \t")
-            if k in seen and k != "<<":
-                pass  # repeated keys are left to the loader
-            seen.add(k)
-            rest = body[m.end() :].strip(" \t")
-            p = Y_PROPS.match(rest)
-            if p:
-                rest = rest[p.end() :]
-            if not rest or rest[0] == "#":
-                self.i += 1
-                nxt = self.skip()
-                if nxt and (nxt[0] > indent or nxt[0] == indent and nxt[1][0] == "-" and (len(nxt[1]) == 1 or nxt[1][1] in " \t")):
-                    self.node(nxt[0], nxt, indent)
-                continue
-            if rest[0] == "-" and (len(rest) == 1 or rest[1] in " \t"):
-                self.fail("block sequence entries are not allowed here")
-            self.scalar(rest, indent + 1, indent, self.i)
-        self.closed(indent, at)
+        self.block(indent, self.pair)
+
+    def pair(self, indent: int, at: tuple[int, str]) -> bool:
+        # Repeated keys are left to the loader.
+        body = at[1]
+        m = self.key(body)
+        if not m:
+            if body[0] == "-" and (len(body) == 1 or body[1] in " \t"):
+                self.fail("sequence entry where a key is expected")
+            self.fail("key expected")
+        rest = body[m.end() :].strip(" \t")
+        p = Y_PROPS.match(rest)
+        if p:
+            rest = rest[p.end() :]
+        if not rest or rest[0] == "#":
+            self.i += 1
+            nxt = self.skip()
+            if nxt and (nxt[0] > indent or nxt[0] == indent and nxt[1][0] == "-" and (len(nxt[1]) == 1 or nxt[1][1] in " \t")):
+                self.node(nxt[0], nxt, indent)
+            return True
+        if rest[0] == "-" and (len(rest) == 1 or rest[1] in " \t"):
+            self.fail("block sequence entries are not allowed here")
+        self.scalar(rest, indent + 1, indent, self.i)
+        return True
 
     def closed(self, indent: int, at: tuple[int, str] | None) -> None:
         if at and at[0] > indent:
@@ -493,7 +569,7 @@ def check_yaml(text: str) -> list[Error]:
     try:
         y.document()
     except _YamlBad as e:
-        errors.append(Error(e.line, e.cause))
+        y.errors.append(Error(e.line, e.cause))
     except RecursionError:
-        errors.append(Error(1, "nested too deeply"))
-    return errors
+        y.errors.append(Error(1, "nested too deeply"))
+    return errors + y.errors

@@ -10,6 +10,8 @@ from .base import Bad, Error, remember
 RESERVED = {"if", "then", "elif", "else", "fi", "for", "in", "do", "done", "while", "until", "case", "esac", "function", "select", "{", "}", "!", "[[", "]]", "time", "coproc"}
 CLOSERS = {"then", "elif", "else", "fi", "do", "done", "esac", "}"}
 
+ENDS = {"if": "fi", "for": "done", "select": "done", "while": "done", "until": "done", "case": "esac", "{": "}", "(": ")"}
+
 OPERATOR = re.compile(r";;&|;;|;&|&&|\|\||\|&|&>>|&>|<<<|<<-|<<|<>|>>|>&|<&|>\||[;&|<>()\n]")
 PLAIN = re.compile(r"[^\s;&|<>()'\"`$\\#]+|#")
 ASSIGN = re.compile(r"[A-Za-z_]\w*(?:\[[^\]]*\])?\+?=")
@@ -26,13 +28,25 @@ class _Lexer:
         self.s, self.i, self.line = text, 0, 1
         self.toks: list[tuple[str, str, int]] = []  # kind (w: plain word, q: word with quotes or expansions, op), text, line
         self.heredocs: list[tuple[str, bool]] = []
+        self.errors: list[Error] = []
 
     def bad(self, cause: str):
         raise Bad(cause, self.s.count("\n", 0, self.i) + 1)
 
     def run(self) -> list[tuple[str, str, int]]:
+        """All tokens; behind an error, those from the end of its line on."""
+        last = -1
+        while True:
+            try:
+                return self.scan()
+            except Bad as e:
+                self.errors.append(Error(max(1, e.at), e.cause))
+                stop = self.s.find("\n", max(self.i, last + 1))
+                self.i = last = len(self.s) if stop < 0 else stop
+
+    def scan(self) -> list[tuple[str, str, int]]:
         s, n = self.s, len(self.s)
-        line, seen = 1, 0
+        line, seen = s.count("\n", 0, self.i) + 1, self.i
         cond = False  # between [[ and ]]
         while self.i < n:
             if m := SPACE.match(s, self.i):
@@ -298,7 +312,7 @@ class _Lexer:
                     self.i = i + 1
                     base = s.count("\n", 0, start)
                     for e in _check(inner, True):
-                        raise Bad(e.cause, e.line + base)
+                        self.errors.append(Error(e.line + base, e.cause))
                     return
             i += 1
         self.i = start
@@ -307,7 +321,8 @@ class _Lexer:
 
 class Parser:
     def __init__(self, toks: list[tuple[str, str, int]]):
-        self.t, self.i = toks, 0
+        self.t, self.i, self.depth = toks, 0, 0
+        self.errors: list[Error] = []
 
     def peek(self) -> str:
         """The reserved word or operator here; 'word' for other words."""
@@ -334,18 +349,55 @@ class Parser:
         self.newlines()
         if self.peek() in closers or not self.peek():
             self.fail("command expected")
+        self.depth += 1
         while True:
-            self.andor()
-            tok = self.peek()
-            if tok in (";", "&", "\n"):
-                self.i += 1
-                self.newlines()
-                if self.peek() in closers or not self.peek():
-                    return
-                continue
-            if tok in closers or not tok:
-                return
-            self.fail(f"unexpected {self.t[self.i][1]!r}")
+            start = self.peek()
+            try:
+                self.andor()
+                if (tok := self.peek()) and tok not in (";", "&", "\n") and tok not in closers:
+                    self.fail(f"unexpected {self.t[self.i][1]!r}")
+            except Bad as e:
+                if not self.recover(e, start, closers):
+                    self.depth -= 1
+                    raise
+            if self.peek() not in (";", "&", "\n"):
+                break
+            self.i += 1
+            self.newlines()
+            if self.peek() in closers or not self.peek():
+                break
+        self.depth -= 1
+
+    def recover(self, bad: Bad, start: str, closers: frozenset) -> bool:
+        """Moves behind an error to the next separator, or the closer of this list; False if an outer list has to."""
+        e = Error(max(1, bad.at), bad.cause)
+        if e not in self.errors:
+            self.errors.append(e)
+        tok, end = self.peek(), ENDS.get(start)
+        if tok in closers:
+            return True
+        if end and (tok == end or tok in CLOSERS):
+            # The rest of the command that began here, if its end is there.
+            i, nested = self.i, 0
+            while i < len(self.t):
+                word = self.t[i][1]
+                if word == end:
+                    if not nested:
+                        self.i = i + 1
+                        break
+                    nested -= 1
+                nested += ENDS.get(word) == end
+                i += 1
+            else:
+                if self.depth > 1:
+                    return False
+        elif self.depth > 1 and (not tok or tok in CLOSERS or tok in (")", ";;", ";&", ";;&")):
+            return False
+        while self.peek() and self.peek() not in (";", "&", "\n"):
+            self.i += 1
+            if self.peek() in closers:
+                break
+        return True
 
     def andor(self) -> None:
         self.pipeline()
@@ -517,8 +569,10 @@ class Parser:
 
 
 def _check(text: str, inner: bool = False) -> list[Error]:
+    lexer, p = _Lexer(text), None
+    extra: list[Error] = []
     try:
-        toks = _Lexer(text).run()
+        toks = lexer.run()
         p = Parser(toks)
         p.newlines()
         while p.i < len(toks):
@@ -526,10 +580,11 @@ def _check(text: str, inner: bool = False) -> list[Error]:
             if p.i < len(toks):
                 p.fail(f"unexpected {toks[p.i][1]!r}")
     except Bad as e:
-        return [Error(max(1, e.at), e.cause)]
+        extra = [Error(max(1, e.at), e.cause)]
     except RecursionError:
-        return [Error(1, "nested too deeply")]
-    return []
+        extra = [Error(1, "nested too deeply")]
+    found = lexer.errors + (p.errors if p else []) + extra
+    return sorted(dict.fromkeys(found), key=lambda e: e.line)
 
 
 SHAPE_WORD = re.compile(r"(?<![\w$-])(?!(?:if|then|elif|else|fi|for|in|do|done|while|until|case|esac|function|select|time|coproc)(?![\w-]))[A-Za-z][\w-]*")
@@ -539,7 +594,7 @@ INDENT = re.compile(r"(?m)^[ \t]+")
 
 
 def check_shell(text: str) -> list[Error]:
-    """Errors of a script; the line of the first, as one shape of names and numbers repeats, is kept with it."""
+    """Errors of a script; as one shape of names and numbers repeats, their lines are kept with it."""
     if "\r" in text:
         text = text.replace("\r\n", "\n")
     if "<<" in text:

@@ -108,3 +108,19 @@ def test_table(spark):
 def test_all_errors_are_kept_after_recovery():
     assert [e.line for e in syntax.check("python", "x = = 1\ny = 2\nz = )\n")] == [1, 3]
     assert len(syntax.check("javascript", "let a = = 1;\nconst b = 2;\nlet c = ;\nfunction f() {}\n")) == 2
+
+
+@pytest.mark.parametrize(
+    "language, text, lines",
+    [
+        ("json", '{"a": tru,\n "b": [1, , 2],\n "c": {"d" 1},\n "e": 3}', [1, 2, 3]),
+        ("json", '[\n {"a": 1,},\n "x\ty, z",\n [1 2],\n 3\n]', [2, 3, 4]),
+        ("json", '{"a": [1, 2}', [1]),
+        ("yaml", "a: [1, 2\nb: 1\nc: x: y\nd:\n  e: @f\n  g: 2\nh: 'ok'\n", [1, 3, 5]),
+        ("yaml", "- a: b: c\n  d: 1\n- %x\n- ok\n- \"open\n", [1, 3, 5]),
+        ("bash", "echo (\nif true; then\n  a | ; b\n  c\nfi\nwhile x; do\n  if y; then z\ndone\n}\necho ok\n", [1, 3, 8, 9]),
+        ("bash", "x=$(a |)\nfor in; do :; done\necho 'open\necho ok\n", [1, 3]),
+    ],
+)
+def test_all_errors_are_listed(language, text, lines):
+    assert [e.line for e in syntax.check(language, text)] == lines
