@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,13 +57,13 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 6) -> DataFrame:
     return seen
 
 
-def levels(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest path to each node by peeling; nodes on or behind a cycle have level -1."""
     left = materialize(edges.select("src", "dst").distinct(), "left")
     nodes = materialize(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
     done = None
     rest = nodes
-    for k in range(rounds):
+    for k in count():  # every round takes a node or is the last
         free = materialize(rest.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"), "free")
         if free.isEmpty():
             break
@@ -73,11 +75,11 @@ def levels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return tail if done is None else done.unionByName(tail)
 
 
-def cyclic(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def cyclic(edges: DataFrame) -> DataFrame:
     """(node): members of cycles and of paths between cycles, after nodes without entry or exit are peeled off."""
     e = materialize(edges.select("src", "dst").distinct(), "cyc")
     size = e.count()
-    for _ in range(rounds):
+    while True:  # every round takes an edge or is the last
         e2 = materialize(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "cyc")
         new = e2.count()
         e = e2

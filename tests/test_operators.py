@@ -95,3 +95,12 @@ def test_redundant_pairs_match_brute_force(spark):
     want = {(a, b) for a, b in want if least[a] == a and (least[b] == b or least[b] == a)}
     assert len(got ^ want) <= 0.02 * len(want) and len(want) > 60
     assert similar.redundant_pairs(df.where("false"), "k", "v").count() == 0
+
+
+def test_deep_graphs_are_peeled_to_the_end(spark, monkeypatch):
+    # Tables in memory: the rounds are many.
+    monkeypatch.setattr(graph, "materialize", lambda df, name: spark.createDataFrame(df.toArrow()) if df.head(1) else spark.createDataFrame([], df.schema))
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(64)]
+    assert {r.node: r.level for r in graph.levels(edges(spark, chain)).collect()} == {f"n{i:03}": i for i in range(65)}
+    long = [(f"n{i:03}", f"n{i + 1:03}") for i in range(130)]
+    assert {r.node for r in graph.cyclic(edges(spark, [*long, ("x", "y"), ("y", "x")])).collect()} == {"x", "y"}
