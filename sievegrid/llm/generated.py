@@ -47,8 +47,24 @@ COMMENT_LINE = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|;|--)")
 
 
 def leading(text: str) -> str:
-    """The comment lines among the first ten lines: where notices stand; strings that merely hold one do not count."""
-    return "\n".join(x for x in text[:3000].split("\n")[:10] if COMMENT_LINE.match(x))
+    """The comments before the first line of code, however long, and the comment lines among the first ten lines: where
+    notices stand; strings that merely hold one do not count, nor do remarks further down."""
+    lines = [x for x in text[:3000].split("\n")[:10] if COMMENT_LINE.match(x)]
+    at, block = 0, False
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        if not block and line.strip() and not COMMENT_LINE.match(line):
+            break
+        opened = block or line.lstrip().startswith("/*")
+        close = line.find("*/") if opened else -1
+        block = opened and close < 0
+        lines.append(line if close < 0 else line[:close])
+        if close >= 0 and line[close + 2 :].strip():
+            break
+        at = end + 1
+    return "\n".join(lines)
 
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +89,7 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 _WORDCHARS = textvec._class_table(b"_.$", True)
 
 
-def repair(sym: np.ndarray, file: np.ndarray, n: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(sym: np.ndarray, file: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, symbols left, cover) of each of n files, folded together.
 
     A round replaces every pair that occurs twice or more and more often than
@@ -87,9 +103,7 @@ def repair(sym: np.ndarray, file: np.ndarray, n: int, rounds: int = 40) -> tuple
     sym = sym.astype(np.int64)
     width = np.ones(len(sym), np.int64)  # tokens that a symbol stands for
     fresh = 256
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
+    while len(sym) >= 2:  # each round shortens the symbols or is the last
         own = file[:-1]
         ok = own == file[1:]
         key = textvec.mix((own.astype(np.uint64) << np.uint64(48)) ^ (sym[:-1].astype(np.uint64) << np.uint64(24)) ^ sym[1:].astype(np.uint64))

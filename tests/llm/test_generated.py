@@ -45,3 +45,17 @@ def test_table(spark):
     assert all("vendored" in got[f"copy{i}"] for i in range(8))
     assert "none" not in got and "empty" not in got
     assert G.classify(df.where("false"), "node_id", "file", "code", "project").count() == 0
+
+
+def test_notices_below_a_long_header_are_seen():
+    licence = "".join(f" * Clause {i} of the licence, at some length so that the header is long enough.\n" for i in range(60))
+    assert G.TOOL_NOTICE.search(G.leading("/*\n" + licence + " */\n\n// Code generated by tool v1. DO NOT EDIT.\nlet x = 1;\n"))
+    deep = "import os\n" * 12 + "# do not modify the list while it is read\n"
+    assert not G.TOOL_NOTICE.search(G.leading(deep))
+
+
+def test_grammar_runs_until_no_pair_occurs_twice():
+    # Prefixes of one run, each behind a symbol of its own: a round makes the rule one longer.
+    sym = np.array([x for k in range(2, 61) for x in (100 + k, *range(1, k + 1))])
+    _, left, _ = G.repair(sym, np.zeros(len(sym), int), 1)
+    assert left[0] == 59 + 59 + 1
