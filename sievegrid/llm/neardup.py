@@ -25,21 +25,23 @@ from ..runtime import broadcast_if_small, materialize, release_shuffles, ship
 from . import textvec
 
 SAMPLES, SKETCH_SAMPLES, SKETCH_BITS = 768, 320, 512
+#: Samples of the coarse sketch, one parity bit each; it travels with the band keys, so most chance candidates end where they meet.
+COARSE_BITS = 128
 #: Rows and bands of a field: prose of one domain shares more of its words by chance than code does, so it needs longer rows.
 #: A pair at exactly THRESHOLD is proposed with probability of about 0.9997 in code and 0.9998 in prose (simulated, with the samples that bands share).
 CODE_BANDS, PROSE_BANDS = (7, 160), (8, 256)
-#: Bands searched at once: the disk holds the keys and chance candidates of one pass only.
-PASS_BANDS = 64
+#: Bands searched at once: the disk holds the keys of one pass only.
+PASS_BANDS = 32
 MIN_WORDS, THRESHOLD = 20, 0.8
 WORD = re.compile(r"[A-Za-z0-9_]+")
 #: Texts hashed at once in a worker; bounds its memory.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def _constants(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240607)
-    a = rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
-    x = rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
+    a = rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
+    x = rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32)
     picks = np.stack([rng.choice(SAMPLES, shape[0], replace=False) for _ in range(shape[1])])
     return a, x, picks
 
@@ -54,13 +56,19 @@ def odd_limit(threshold: float = THRESHOLD, samples: int = SKETCH_SAMPLES, bits:
     return int(expect + sigmas * var**0.5)
 
 
+def coarse_limit(threshold: float = THRESHOLD, bits: int = COARSE_BITS, sigmas: float = 3.7) -> int:
+    """Most differing bits of the coarse sketch that a pair at the threshold shows, but for a tail of `sigmas` deviations."""
+    p = (1 - threshold / (2 - threshold)) / 2
+    return int(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5)
+
+
 def signatures(texts: list[str | None], salt: int, shape: tuple[int, int]) -> tuple[np.ndarray, ...]:
-    """Of each text: words, class (two numbers), band keys and odd sketch; zeros where it has no words."""
+    """Of each text: words, class (two numbers), band keys, odd sketch and coarse sketch; zeros where it has no words."""
     a, x, picks = _constants(shape)
     n = len(texts)
     w = textvec.Words(texts)
     e, row = textvec.multiset_elements(w)
-    mins = np.zeros((SAMPLES, n), np.uint64)
+    mins = np.zeros((SAMPLES, n), np.uint32)
     have = np.flatnonzero(w.n)
     cls = np.zeros((2, n), np.uint64)
     if len(have):
@@ -68,8 +76,14 @@ def signatures(texts: list[str | None], salt: int, shape: tuple[int, int]) -> tu
         with np.errstate(over="ignore"):
             cls[0, have] = np.add.reduceat(e, starts)
             cls[1, have] = np.add.reduceat(textvec.mix(e ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
+            # 32-bit halves of the hashes: twice the numbers in a vector register.
+            halves = e.astype(np.uint32), (e >> np.uint64(32)).astype(np.uint32)
+            t = np.empty(len(e), np.uint32)
             for j in range(SAMPLES):
-                mins[j, have] = np.minimum.reduceat((e ^ x[j]) * a[j], starts)
+                np.bitwise_xor(halves[j & 1], x[j], out=t)
+                np.multiply(t, a[j], out=t)
+                mins[j, have] = np.minimum.reduceat(t, starts)
+    mins = mins.astype(np.uint64)
     with np.errstate(over="ignore"):
         keys = np.zeros((n, len(picks)), np.uint64)
         for b in range(len(picks)):
@@ -83,7 +97,10 @@ def signatures(texts: list[str | None], salt: int, shape: tuple[int, int]) -> tu
     for j in range(SKETCH_SAMPLES):
         parity[at, bit[j]] ^= 1
     sketch = np.packbits(parity, axis=1, bitorder="little").view(np.uint64)
-    return w.n, cls, keys, sketch
+    with np.errstate(over="ignore"):
+        one = (textvec.mix(mins[-COARSE_BITS:] + np.arange(COARSE_BITS, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(1)
+    coarse = np.packbits(np.ascontiguousarray(one.astype(np.uint8).T), axis=1, bitorder="little").view(np.uint64)
+    return w.n, cls, keys, sketch, coarse
 
 
 def _lists(m: np.ndarray, kind: type = np.int64) -> pa.ListArray:
@@ -92,8 +109,13 @@ def _lists(m: np.ndarray, kind: type = np.int64) -> pa.ListArray:
 
 
 def sketch_table(df: DataFrame, key: str, fields: dict[str, tuple[int, int]]) -> DataFrame:
-    """(id, field, n, c1, c2, bands, sketch) of every text with MIN_WORDS words or more."""
+    """(id, field, n, c1, c2, u, v, sketch, b0, b1, ...) of every text with MIN_WORDS words or more.
+
+    u and v are the coarse sketch. The band keys lie in columns of PASS_BANDS
+    each, so that a pass reads its own; a field with fewer bands has nulls.
+    """
     ship(df.sparkSession)
+    passes = _passes(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,16 +128,24 @@ def sketch_table(df: DataFrame, key: str, fields: dict[str, tuple[int, int]]) ->
                     while to < len(texts) and (size < CHUNK_BYTES or to == at):
                         size += len(texts[to] or "")
                         to += 1
-                    n, cls, keys, sketch = signatures(texts[at:to], f, shape)
+                    n, cls, keys, sketch, coarse = signatures(texts[at:to], f, shape)
                     ok = np.flatnonzero(n >= MIN_WORDS)
+                    short = (keys[ok] >> np.uint64(32)).astype(np.uint32)
+                    bands = [_lists(short[:, k : k + PASS_BANDS], np.int32) if k < shape[1] else pa.nulls(len(ok), pa.list_(pa.int32())) for k in range(0, passes * PASS_BANDS, PASS_BANDS)]
+                    numbers = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (cls[0, ok], cls[1, ok], coarse[ok, 0], coarse[ok, 1])]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(at, to - at).take(pa.array(ok)), pa.array([name] * len(ok), pa.string()), pa.array(n[ok].astype(np.int32)), pa.array(cls[0, ok].view(np.int64)), pa.array(cls[1, ok].view(np.int64)), _lists((keys[ok] >> np.uint64(32)).astype(np.uint32), np.int32), _lists(sketch[ok])],
-                        names=["id", "field", "n", "c1", "c2", "bands", "sketch"],
+                        [ids.slice(at, to - at).take(pa.array(ok)), pa.array([name] * len(ok), pa.string()), pa.array(n[ok].astype(np.int32)), *numbers, _lists(sketch[ok]), *bands],
+                        names=["id", "field", "n", "c1", "c2", "u", "v", "sketch", *(f"b{k}" for k in range(passes))],
                     )
                     at = to
 
     rows = df.select(F.col(key).cast("string").alias("id"), *[F.col(c) for c in fields])
-    return rows.mapInArrow(run, "id string, field string, n int, c1 bigint, c2 bigint, bands array<int>, sketch array<bigint>")
+    bands = "".join(f", b{k} array<int>" for k in range(passes))
+    return rows.mapInArrow(run, f"id string, field string, n int, c1 bigint, c2 bigint, u bigint, v bigint, sketch array<bigint>{bands}")
+
+
+def _passes(fields: dict[str, tuple[int, int]]) -> int:
+    return -(-max(bands for _, bands in fields.values()) // PASS_BANDS)
 
 
 def dice(a: str, b: str) -> float:
@@ -155,33 +185,34 @@ def near_duplicates(df: DataFrame, key: str, fields: dict[str, tuple[int, int]])
     # Rows other than their class's first leave the search. They are few unless copies abound; their number decides the join.
     others = members.where("not first").select("h")
     others = broadcast_if_small(others, others.count(), 16)
-    reps = rows.select("h", F.col("id").alias("rep"), "field", "n", "bands", "sketch").join(others, "h", "left_anti")
+    reps = rows.join(others, "h", "left_anti")
     # A key is its field, its band's number and 32 bits of hash: texts that meet by chance are about one per text and
     # band for 2 ** 32 texts, and the sketches take them out.
     code = F.lit(0)
     for i, name in enumerate(fields):
         code = F.when(F.col("field") == name, F.lit(i)).otherwise(code)
-    sk = broadcast_if_small(reps.select("h", "sketch"), members.where("first").count(), SKETCH_BITS // 8 + 24)
     ratio = THRESHOLD / (2 - THRESHOLD)
     fits = (F.col("a.n") >= F.col("b.n") * ratio - 1e-6) & (F.col("b.n") >= F.col("a.n") * ratio - 1e-6)
-    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    rough = F.bit_count(F.col("a.u").bitwiseXOR(F.col("b.u"))) + F.bit_count(F.col("a.v").bitwiseXOR(F.col("b.v"))) <= coarse_limit()
 
-    def propose(first: int) -> DataFrame:
-        post = reps.select("h", "n", code.alias("f"), F.posexplode(F.slice("bands", first + 1, PASS_BANDS)).alias("p", "k")).select("h", "n", ((F.col("f") * 4096 + F.col("p")).cast("bigint") * (1 << 32) + F.col("k").cast("bigint")).alias("k"))
+    def propose(k: int) -> DataFrame:
+        post = reps.select("h", "n", "u", "v", code.alias("f"), F.posexplode(f"b{k}").alias("p", "k")).select(((F.col("f") * 4096 + F.col("p")).cast("bigint") * (1 << 32) + F.col("k").cast("bigint")).alias("k"), "h", "n", "u", "v")
         a, b = post.alias("a"), post.alias("b")
-        pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")) & fits).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
-        # One shuffle by the first id serves the removal of repeats and the join with its sketch.
-        pairs = pairs.repartition("ha").dropDuplicates(["ha", "hb"])
-        both = pairs.join(sk.select(F.col("h").alias("ha"), F.col("sketch").alias("sa")), "ha").join(sk.select(F.col("h").alias("hb"), F.col("sketch").alias("sb")), "hb")
-        return materialize(both.where(differ <= odd_limit()).select("ha", "hb"), "proposed")
+        pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")) & fits & rough)
+        return materialize(pairs.select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")), "proposed")
 
     proposed = []
-    for first in range(0, max(bands for _, bands in fields.values()), PASS_BANDS):
-        proposed.append(propose(first))
+    for k in range(_passes(fields)):
+        proposed.append(propose(k))
         release_shuffles(df.sparkSession)
-    likely = materialize(reduce(DataFrame.unionByName, proposed).dropDuplicates(["ha", "hb"]), "likely")
+    sk = reps.select("h", "sketch")
+    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    # One shuffle by the first id serves the removal of repeats and the join with its sketch.
+    pairs = reduce(DataFrame.unionByName, proposed).repartition("ha").dropDuplicates(["ha", "hb"])
+    both = pairs.join(sk.select(F.col("h").alias("ha"), F.col("sketch").alias("sa")), "ha").join(sk.select(F.col("h").alias("hb"), F.col("sketch").alias("sb")), "hb")
+    likely = materialize(both.where(differ <= odd_limit()).select("ha", "hb"), "likely")
     # Only texts of a likely pair are read for the exact check.
-    need = likely.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().join(reps.select("h", "field", "rep"), "h")
+    need = likely.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().join(reps.select("h", "field", F.col("id").alias("rep")), "h")
     need = materialize(need, "needed")
     need = broadcast_if_small(need, need.count(), 96)  # small unless a good part of all texts has a near duplicate
     flat = df.select(F.col(key).cast("string").alias("rep"), F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f) for f in fields]))).alias("field", "text")).where("text is not null")
@@ -208,7 +239,7 @@ def expand(membership: DataFrame, links: DataFrame) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "field")
 
 
-def groups(membership: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:
+def groups(membership: DataFrame, links: DataFrame) -> DataFrame:
     """(id, field, rep, grp, links): the connected group of every text, grp its least representative.
 
     Alternating large-star and small-star steps over the links, each cut by a
@@ -217,7 +248,7 @@ def groups(membership: DataFrame, links: DataFrame, rounds: int = 30) -> DataFra
     v = F.concat_ws("\u0001", "field", "rep_a").alias("u"), F.concat_ws("\u0001", "field", "rep_b").alias("v")
     base = materialize(links.select(*v), "links")
     edges = base
-    for _ in range(rounds):
+    while True:  # every round ties more nodes to lesser ones or is the last
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: every larger neighbour is tied to the least of the neighbourhood.
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -63,7 +63,7 @@ def test_sketch_limit_keeps_similar_pairs():
         other = base[:]
         for j in rng.choice(300, 55, replace=False):
             other[j] = f"u{k}_{j}"
-        _, _, _, s = neardup.signatures([" ".join(base), " ".join(other)], 0, neardup.CODE_BANDS)
+        _, _, _, s, _ = neardup.signatures([" ".join(base), " ".join(other)], 0, neardup.CODE_BANDS)
         lost += int(np.unpackbits((s[0] ^ s[1]).view(np.uint8)).sum()) > neardup.odd_limit()
     assert lost == 0
 
