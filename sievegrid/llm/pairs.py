@@ -1,11 +1,12 @@
 """p1: question-answer pairs whose answer is no use.
 
-A multi-label linear classifier over hashed n-grams of the answer's start and
-end and over features of the pair. It is fitted on a bounded sample of the
-pairs themselves, with answers made empty, cut off, refused, copied from the
-question and swapped with those in other languages; a second round leaves out
-originals that the first takes for defective. Thresholds are calibrated on
-held-out pairs.
+A multi-label linear classifier over hashed n-grams of the whole answer (those
+of its start and end apart from the rest) and over features of the pair. It is
+fitted on a bounded sample of the pairs themselves, with answers made empty,
+cut off, refused, copied from the question and swapped with those in other
+languages; a second round leaves out originals that the first takes for
+defective. Thresholds are calibrated on held-out pairs. A batch of pairs is
+hashed and scored at once on arrays.
 """
 
 from __future__ import annotations
@@ -22,10 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from . import textvec
+from .sampling import sample
 
 #: Pairs that the classifier is fitted on, in the order of a hash of the record's key.
 SAMPLE_PAIRS = 6000
-BITS = 16
+BITS = 17
+#: Weight of the n-grams behind the start against those of start and end, which say more.
+REST_WEIGHT = 0.3
+#: N-grams that begin among so many first words are told apart from those of the rest.
+START_WORDS = 24
+#: A defect beside the likeliest one comes out if it is so far over its threshold.
+SECOND_MARGIN = 2.0
 LABELS = ["empty", "truncated", "refusal", "copy", "wrong_language"]
 
 # Texts that stand for no answer, in the languages of conversations.
@@ -52,8 +61,23 @@ NOTHING = re.compile(r"(?i)^(?:n\s*/?\s*a|none|null|nil|nan|undefined|todo|tbd|e
 FENCE = re.compile(r"```[\s\S]*?(?:```|\Z)")
 
 
+OPEN_VALUE = re.compile(r'"(?:answer|output|response)"\s*:\s*"((?:[^"\\]|\\.)*)\\?$')
+
+
+def is_open(output: str | None) -> bool:
+    """Whether an output is a JSON value that breaks off inside its answer."""
+    s = (output or "").strip()
+    if s[:1] not in ("{", "["):
+        return False
+    try:
+        json.loads(s)
+    except ValueError:
+        return bool(OPEN_VALUE.search(s))
+    return False
+
+
 def answer_text(output: str | None) -> str | None:
-    """The answer in an output: the JSON value's answer where the output is JSON, else the output itself."""
+    """The answer in an output: the JSON value's answer (so far) where the output is JSON, else the output itself."""
     if output is None:
         return None
     s = output.strip()
@@ -61,9 +85,8 @@ def answer_text(output: str | None) -> str | None:
         try:
             v = json.loads(s)
         except ValueError:
-            # A JSON value that breaks off: its answer so far, left open.
-            m = re.search(r'"(?:answer|output|response)"\s*:\s*"((?:[^"\\]|\\.)*)\\?$', s)
-            return m[1].replace("\\n", "\n").replace('\\"', '"') + " {" if m else output
+            m = OPEN_VALUE.search(s)
+            return m[1].replace("\\n", "\n").replace('\\"', '"') if m else output
         if isinstance(v, dict):
             for k in ("answer", "output", "response", "text", "content", "result"):
                 if k in v:
@@ -144,7 +167,7 @@ def _bag(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-DENSE = 34
+DENSE = 35
 LIST_MARK = re.compile(r"(?:\d+[.)]|[-*+])\s*(\S?)")
 SENTENCE = re.compile(r"[.!?。！？](?:\s|$|[\"')\]])")
 NUMERIC = re.compile(r"[-+]?[\d.,]+%?")
@@ -153,8 +176,8 @@ ENDINGS = set(".!?。！？…\"'”’»)]}`|>*")
 BREAKS = set(",;:-–—(/=+&\\<")
 
 
-def describe(q: str, a: str, langs: Languages) -> tuple[list[float], list[int]]:
-    """The features of a pair and the buckets of its answer's n-grams."""
+def describe(q: str, a: str, open_: bool, langs: Languages) -> tuple[list[float], list[int], str]:
+    """The features of a pair, the buckets of its answer's end, and the answer's words outside of code for the n-grams."""
     s = a.strip()
     core = MARKUP.sub(" ", s).strip() if len(s) < 60 else s
     nothing = not core or len(core) < 40 and bool(NOTHING.match(core))
@@ -223,23 +246,75 @@ def describe(q: str, a: str, langs: Languages) -> tuple[list[float], list[int]]:
         float(fences > 0),
         float(bool(cut) and s[-len(cut[-1]) - 1 : -len(cut[-1])] == "\n" and not ended),
         float(na > 0 and not la),
+        float(open_),
     ]
-    start = spoken[:24]
-    if not a.isascii() and IDEOGRAPH.search(plain):
-        start = [c for c in plain if c.isalpha()][:24]
-    out = [bucket("s" + w) for w in start]
-    out += [bucket(f"s{x} {y}") for x, y in zip(start, start[1:])]
-    out += [bucket(f"t{x} {y} {z}") for x, y, z in zip(start, start[1:], start[2:])]
-    end = spoken[-4:]
-    out += [bucket("e" + w) for w in end[-2:]] + [bucket("f" + s[-3:])]
-    out += [bucket(f"e{x} {y}") for x, y in zip(end, end[1:])]
+    out = [bucket("f" + s[-3:])]
     # How the last sentence is built: its frame words, all others alike.
     last = SENTENCE.split(outside.replace("\n", " . "))[-1].lower()
     frame = ["0" if w[0].isdigit() else w if w in langs.frame else "_" for w in TOKEN.findall(last)[-9:]]
     for k in (2, 3, 4, 5, 6, 8):
         if len(frame) >= k:
             out.append(bucket("k" + " ".join(frame[-k:])))
-    return dense, out
+    low = plain.lower()
+    if not low.isascii():
+        low = IDEOGRAPH.sub(r" \g<0> ", NO_WORD.sub(" ", low))
+    return dense, out, low
+
+
+NO_WORD = re.compile(r"[\W_]+")
+LETTERS = textvec._class_table(b"", True)
+_SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+
+
+class Described:
+    """A batch of pairs: dense features and the weighted buckets of each pair, row after row."""
+
+    def __init__(self, pairs: list[tuple[str, str, bool]], langs: Languages):
+        made = [describe(q, a, o, langs) for q, a, o in pairs]
+        n = len(made)
+        self.x = np.array([m[0] for m in made]) if n else np.zeros((0, DENSE))
+        w = textvec.Words([m[2] for m in made], LETTERS, fold=False)
+        first = np.concatenate([[0], np.cumsum(w.n)])
+        at = np.arange(len(w.row))
+        pos, back, h = at - first[w.row], first[w.row + 1] - 1 - at, w.hash
+        buckets, rows, edge = [], [], []
+
+        def add(g, row, seed, is_edge):
+            buckets.append(textvec.mix(g + seed))
+            rows.append(row)
+            edge.append(np.broadcast_to(is_edge, len(row)))
+
+        with np.errstate(over="ignore"):
+            g = h
+            for k in (1, 2, 3):
+                m = len(h) - k + 1
+                if m <= 0:
+                    break
+                if k > 1:
+                    g = textvec.mix(g[:m] * np.uint64(31) + h[k - 1 :])
+                whole = w.row[:m] == w.row[k - 1 :]
+                early = pos[:m] < START_WORDS
+                add(g[whole], w.row[:m][whole], np.where(early, _SEEDS[k], _SEEDS[k + 3])[whole], early[whole])
+                end = whole & (back[:m] < (2 if k == 1 else 4)) & (k < 3)
+                add(g[end], w.row[:m][end], _SEEDS[0] + np.uint64(k), True)
+            more = [b for m in made for b in m[1]]
+            own = np.repeat(np.arange(n), [len(m[1]) for m in made])
+        mask = np.uint64((1 << BITS) - 1)
+        idx = np.concatenate([*((b & mask).astype(np.int64) for b in buckets), np.array(more, np.int64)])
+        row = np.concatenate([*rows, own])
+        edge = np.concatenate([*edge, np.ones(len(own), bool)])
+        count = [np.bincount(row[e], minlength=n) for e in (~edge, edge)]
+        order = np.argsort(row, kind="stable")
+        self.idx, row, edge = idx[order], row[order], edge[order]
+        self.row = row
+        self.scale = np.where(edge, 1.0, REST_WEIGHT) / np.sqrt(1 + np.where(edge, count[1][row], count[0][row]))
+        self.ptr = np.searchsorted(row, np.arange(n + 1))
+
+    def logits(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        z = self.x @ w.T
+        for k in range(z.shape[1]):
+            z[:, k] += np.bincount(self.row, v[self.idx, k] * self.scale, len(z))
+        return z
 
 
 # Words that no sentence ends with.
@@ -269,35 +344,41 @@ class Model:
     def __init__(self, langs: Languages, w: np.ndarray, v: np.ndarray, cut: np.ndarray):
         self.langs, self.w, self.v, self.cut = langs, w, v, cut
 
-    def logits(self, q: str, a: str) -> np.ndarray:
-        x, g = describe(q, a, self.langs)
-        return self.w @ np.array(x) + self.v[g].sum(0) / math.sqrt(len(g) + 1)
+    def defects(self, pairs: list[tuple[str | None, str | None, bool]]) -> list[list[str]]:
+        """The defects of each pair: the one with the largest margin over its threshold, and others that are far over theirs."""
+        z = Described([(q or "", a or "", o) for q, a, o in pairs], self.langs).logits(self.w, self.v) - self.cut
+        top = z.argmax(1)
+        out = []
+        for k, row in zip(top, z):
+            if row[k] <= 0:
+                out.append([])
+            else:
+                out.append([LABELS[k], *(LABELS[j] for j in range(1, 5) if k and j != k and row[j] > SECOND_MARGIN)])
+        return out
 
     def defect(self, q: str | None, a: str | None) -> str | None:
         """The defect with the largest margin over its threshold, or None."""
-        q, a = q or "", a or ""
-        z = self.logits(q, a) - self.cut
-        k = int(np.argmax(z))
-        return LABELS[k] if z[k] > 0 else None
+        got = self.defects([(q, a, False)])[0]
+        return got[0] if got else None
 
 
-def synthesize(rows: list[tuple[str | None, str, str]], langs: Languages, rng: np.random.Generator) -> list[tuple[str, str, int]]:
-    """(question, answer, label) with answers spoilt in each of the five ways."""
+def synthesize(rows: list[tuple[str | None, str, str, str]], langs: Languages, rng: np.random.Generator) -> list[tuple[str, str, bool, int]]:
+    """(question, answer, open, label) with answers spoilt in each of the five ways; of JSON, the raw output is cut off."""
     by_lang: dict[str, list[str]] = {}
-    for _, q, a in rows:
+    for _, q, a, _ in rows:
         la, m = langs.guess(a)
         if la and m > 2 and len(a) > 8:
             by_lang.setdefault(la, []).append(a)
     out = []
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    for k, (_, q, a) in enumerate(rows):
+    for k, (_, q, a, raw) in enumerate(rows):
         kind = k % 6
         if kind == 0:
-            out.append((q, pick(PLACEHOLDERS), 0))
+            out.append((q, pick(PLACEHOLDERS), False, 0))
         for _ in range(2 if kind in (1, 2) else 0):
-            b = cut_off(a, rng)
+            b = cut_off(a if raw == a or rng.random() < 0.5 else raw, rng)
             if b:
-                out.append((q, b, 1))
+                out.append((q, b if raw == a else answer_text(b), raw != a and is_open(b), 1))
         if kind in (1, 2):
             continue
         if kind == 3:
@@ -306,17 +387,17 @@ def synthesize(rows: list[tuple[str | None, str, str]], langs: Languages, rng: n
             if lq in FOREIGN_REFUSALS and rng.random() < 0.85:
                 o, r, c = FOREIGN_REFUSALS[lq]
                 t = pick(o) + pick(r)
-                out.append((q, t[:1].upper() + t[1:] + pick(c), 2))
+                out.append((q, t[:1].upper() + t[1:] + pick(c), False, 2))
             else:
                 t = pick(OPENERS) + pick(REFUSALS).replace("{x}", pick([*names, "this topic", "internal matters"])) + pick(CLOSERS)
-                out.append((q, t[:1].upper() + t[1:], 2))
+                out.append((q, t[:1].upper() + t[1:], False, 2))
         elif kind == 4 and len(_bag(q)) >= 3:
-            out.append((q, copied(q, rng), 3))
+            out.append((q, copied(q, rng), False, 3))
         elif kind == 5:
             lq, m = langs.guess(q)
             others = [x for x in by_lang if x != lq]
             if lq and m > 1 and others and not ASKED.search(q):
-                out.append((q, pick(by_lang[pick(others)]), 4))
+                out.append((q, pick(by_lang[pick(others)]), False, 4))
     return out
 
 
@@ -342,9 +423,13 @@ def copied(q: str, rng: np.random.Generator) -> str:
     return forms[int(rng.integers(len(forms)))]
 
 
-def fit(rows: list[tuple[str | None, str, str]], seed: int = 11) -> Model:
-    """A model from (language tag, question, answer) of a sample; without rows, one that flags only empty answers."""
-    langs = learn_languages(rows)
+def fit(rows: list[tuple], seed: int = 11) -> Model:
+    """A model from (language tag, question, answer, raw output) of a sample; without rows, one that flags only empty answers.
+
+    A row without a raw output has none but its answer.
+    """
+    rows = [r if len(r) > 3 else (*r, r[2]) for r in rows]
+    langs = learn_languages([r[:3] for r in rows])
     w0 = np.zeros((5, DENSE))
     w0[:, 0] = -6
     w0[0, 1], w0[0, 2] = 10, 4
@@ -353,20 +438,17 @@ def fit(rows: list[tuple[str | None, str, str]], seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     spoilt = synthesize(rows, langs, rng)
     # An answer that only lacks its last point is whole.
-    bare = [(q, a.rstrip()[:-1], -1) for k, (_, q, a) in enumerate(rows) if k % 3 == 0 and a.rstrip()[-1:] in (".", "。") and len(a) > 40]
-    data = [(q, a, -1) for _, q, a in rows] + bare + spoilt
+    bare = [(q, a.rstrip()[:-1], False, -1) for k, (_, q, a, _) in enumerate(rows) if k % 3 == 0 and a.rstrip()[-1:] in (".", "。") and len(a) > 40]
+    data = [(q, a, raw != a and is_open(raw), -1) for _, q, a, raw in rows] + bare + spoilt
     data = [data[i] for i in rng.permutation(len(data))]
-    made = [describe(q, a, langs) for q, a, _ in data]
-    x = np.array([d for d, _ in made])
-    g = [np.array(h) for _, h in made]
-    label = np.array([k for _, _, k in data])
+    made = Described([d[:3] for d in data], langs)
+    label = np.array([d[3] for d in data])
     y = np.array([[float(k == j) for j in range(5)] for k in label])
     keep = np.ones(len(data), bool)
     hold = np.arange(len(data)) % 5 == 0
     for last in (False, True):
-        fitted = np.flatnonzero(keep & ~hold)
-        w, v = _train(x[fitted], [g[i] for i in fitted], y[fitted], w0, rng)
-        z = x @ w.T + np.array([v[h].sum(0) / math.sqrt(len(h) + 1) for h in g])
+        w, v = _train(made, np.flatnonzero(keep & ~hold), y, w0, rng)
+        z = made.logits(w, v)
         # Originals that the first round takes for defective are left out, also of the calibration.
         if not last:
             keep = (label >= 0) | (z.max(1) < -0.5)
@@ -386,21 +468,26 @@ def _cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[order[k]] + (z[order[k + 1]] if k + 1 < len(z) else z[order[k]] - 1)) / 2)
 
 
-def _train(x, g, y, w0, rng, epochs: int = 4, batch: int = 64):
+def _train(made: Described, fitted: np.ndarray, y: np.ndarray, w0: np.ndarray, rng: np.random.Generator, epochs: int = 4, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """AdaGrad over small batches."""
     w, v = w0.copy(), np.zeros((1 << BITS, 5))
     gw, gv = np.full(w.shape, 1e-4), np.full(v.shape, 1e-4)
-    scale = np.array([1 / math.sqrt(len(k) + 1) for k in g])
+    x, ptr = made.x, made.ptr
     for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
-            idx = np.concatenate([g[i] for i in rows])
-            seg = np.repeat(np.arange(len(rows)), [len(g[i]) for i in rows])
+        for rows in np.array_split(fitted[rng.permutation(len(fitted))], max(1, len(fitted) // batch)):
+            size = ptr[rows + 1] - ptr[rows]
+            seg = np.repeat(np.arange(len(rows)), size)
+            at = np.arange(len(seg)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ptr[rows], size)
+            idx, scale = made.idx[at], made.scale[at]
             z = x[rows] @ w.T
-            np.add.at(z, seg, v[idx] * scale[rows][seg, None])
+            part = v[idx] * scale[:, None]
+            for k in range(5):
+                z[:, k] += np.bincount(seg, part[:, k], len(rows))
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
             dw = e.T @ x[rows] + 1e-4 * w
             gw += dw * dw
             w -= 0.4 * dw / np.sqrt(gw)
-            dv = e[seg] * scale[rows][seg, None]
+            dv = e[seg] * scale[:, None]
             uniq, inv = np.unique(idx, return_inverse=True)
             dv = np.stack([np.bincount(inv, dv[:, k], len(uniq)) for k in range(5)], 1) + 2e-5 * v[uniq]
             gv[uniq] += dv * dv
@@ -418,25 +505,31 @@ def pairs_of(chatml: DataFrame, payload: DataFrame) -> DataFrame:
 
 
 def defects(pairs: DataFrame) -> DataFrame:
-    """(tbl, rec_id, turn, defect) of the pairs that have one, once each.
+    """(tbl, rec_id, turn, defect) of the pairs that have one, each defect once.
 
     A null or blank answer is empty, whatever the question; a null question
-    counts as an empty one. Other columns are ignored; an empty table gives an
-    empty table.
+    counts as an empty one. A pair with two defects has two rows. Other columns
+    are ignored; an empty table gives an empty table.
     """
     spark = pairs.sparkSession
     ship(spark)
-    rows = pairs.where("question is not null and answer is not null").orderBy(F.xxhash64("tbl", "rec_id"), "tbl", "rec_id", "turn").limit(SAMPLE_PAIRS).select("lang", "question", "answer", "tbl").collect()
-    sample = sorted({(r[0] or "", r[1], (answer_text(r[2]) if r[3] == "payload" else r[2]) or "") for r in rows})
-    shared = spark.sparkContext.broadcast(fit(sample))
+    rows = sample(pairs.where("question is not null and answer is not null").select("lang", "question", "answer", "tbl", "rec_id", "turn"), ["tbl", "rec_id", "turn"], SAMPLE_PAIRS)
+    known = sorted({(r[0] or "", r[1], (answer_text(r[2]) if r[3] == "payload" else r[2]) or "", r[2]) for r in rows})
+    shared = spark.sparkContext.broadcast(fit(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
             tbl, q, a = (b.column(i).to_pylist() for i in (0, 3, 4))
-            got = [model.defect(y, answer_text(z) if x == "payload" else z) for x, y, z in zip(tbl, q, a)]
-            keep = pa.array([x is not None for x in got])
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), b.column(2).filter(keep), pa.array([x for x in got if x], pa.string())], names=["tbl", "rec_id", "turn", "defect"])
+            for at in range(0, len(q), CHUNK_PAIRS):
+                part = [(y, answer_text(z), is_open(z)) if x == "payload" else (y, z, False) for x, y, z in zip(tbl[at : at + CHUNK_PAIRS], q[at : at + CHUNK_PAIRS], a[at : at + CHUNK_PAIRS])]
+                got = model.defects(part)
+                take = pa.array(np.repeat(np.arange(at, at + len(part)), [len(x) for x in got]))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), pa.array([y for x in got for y in x], pa.string())], names=["tbl", "rec_id", "turn", "defect"])
 
     found = pairs.select("tbl", "rec_id", F.col("turn").cast("int").alias("turn"), "question", "answer").mapInArrow(run, "tbl string, rec_id bigint, turn int, defect string")
-    return found.dropDuplicates(["tbl", "rec_id", "turn"])
+    return found.distinct()
+
+
+#: Pairs scored at once in a worker.
+CHUNK_PAIRS = 500
