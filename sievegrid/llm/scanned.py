@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, materialize, ship
+from .sampling import sample
 
 #: A spelling is corrected only to one so many times as frequent, which occurs so often.
 RATIO, VOCABULARY_COUNT, MIN_LENGTH = 8, 4, 4
@@ -218,7 +219,7 @@ def corrections(words: DataFrame) -> DataFrame:
     alone rules a spelling out, so what is found in a table is found in a larger one.
     """
     spark = words.sparkSession
-    long = words.where(F.length("word").between(MIN_LENGTH, 40) & ~F.col("word").contains("-"))
+    long = words.where((F.length("word") >= MIN_LENGTH) & ~F.col("word").contains("-"))
     vocab = long.where((F.col("n") >= VOCABULARY_COUNT) & ~F.col("word").rlike(r"[0-9|!$]")).select(F.col("word").alias("c"), F.col("n").alias("nc"))
     suspects = long.select(F.col("word").alias("s"), F.col("n").alias("ns"), F.col("m").alias("ms"))
 
@@ -239,8 +240,8 @@ def corrections(words: DataFrame) -> DataFrame:
         tables.append(F.translate("s", digits, "".join(LETTER.get(ch, ch) for ch in digits)))
     decoded = read.select("s", "ns", "ms", F.explode(F.array(*tables)).alias("c")).join(vocab, "c").where(F.col("nc") >= RATIO * F.col("ns")).select("s", "c", F.lit(9).cast("bigint").alias("k"), "ns", "nc", "ms")
     pairs = materialize(near.unionByName(decoded).dropDuplicates(["s", "c"]), "corrections")
-    top = [(r[0], r[1]) for r in vocab.where(F.col("nc") >= 4 * RATIO).orderBy(F.xxhash64("c")).limit(SAMPLE_PAIRS).collect()]
-    rivals = [(r[0], r[1], r[2], r[3]) for r in pairs.where(F.col("ns") >= VOCABULARY_COUNT * 4).where(~F.col("s").rlike(r"[0-9|!$]")).orderBy(F.xxhash64("s", "c")).limit(SAMPLE_PAIRS).select("s", "c", "ns", "nc").collect()]
+    top = [(r[0], r[1]) for r in sample(vocab.where(F.col("nc") >= 4 * RATIO), ["c"], SAMPLE_PAIRS)]
+    rivals = [tuple(r[:4]) for r in sample(pairs.where(F.col("ns") >= VOCABULARY_COUNT * 4).where(~F.col("s").rlike(r"[0-9|!$]")).select("s", "c", "ns", "nc"), ["s", "c"], SAMPLE_PAIRS)]
     model = spark.sparkContext.broadcast(fit_ranking(sorted(top), sorted(rivals)))
     # How often words that are misread for sure, and words at all, stand beside another odd word.
     sure = pairs.where(F.col("s").rlike(ODD)).select("s", "ns", "ms").distinct().agg(F.sum("ms"), F.sum("ns")).first()
@@ -486,8 +487,8 @@ def analyse(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     words = materialize(count_words(texts), "words")
     right = materialize(corrections(words), "right")
     known = words.where(F.col("n") >= 50).join(right, "word", "left_anti").orderBy(F.desc("n"), "word").limit(KNOWN_WORDS)
-    sample = [r[0] for r in texts.where(F.length("text") > 0).where(F.instr("text", "\n") > 0).orderBy(F.xxhash64("tbl", "rec_key")).limit(SAMPLE_TEXTS).select("text").collect()]
-    weights = fit_lines(sorted(t for t in sample if is_prose(t)))
+    rows = sample(texts.where(F.length("text") > 0).where(F.instr("text", "\n") > 0).select("tbl", "rec_key", "text"), ["tbl", "rec_key"], SAMPLE_TEXTS)
+    weights = fit_lines(sorted(r["text"] for r in rows if is_prose(r["text"])))
     scanned = materialize(scan_lines(texts, weights, {r[0] for r in known.select("word").collect()}).where("found is not null"), "scanned")
     key = ["tbl", "rec_key"]
     plain = scanned.select(*key, F.explode("found.heads").alias("line"), F.lit("header").alias("kind")).unionByName(scanned.select(*key, F.explode("found.pages").alias("line"), F.lit("page_number").alias("kind")))
