@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ from . import bpe
 
 #: Distinct (slice, piece) pairs held by one task before they are passed on to the shuffle.
 HELD_PAIRS = 300_000
+#: Occurrences in a task's slice from which a piece is common, and tasks over which the slices of a common piece are spread.
+COMMON, SALTS = 32, 32
 
 
 def encode_texts(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
@@ -90,13 +93,16 @@ def slice_piece_counts(df: DataFrame, slices: list[str], text: str, path: str |
             cols: list[list] = [[] for _ in names]
             pieces: list[str] = []
             counts: list[int] = []
+            salts: list[int] = []
             for k, c in held.items():
                 for col, v in zip(cols, k):
                     col.extend([v] * len(c))
                 pieces.extend(c.keys())
                 counts.extend(c.values())
+                salt = 1 + zlib.crc32(repr(k).encode("utf-8", "replace")) % SALTS
+                salts.extend([salt if n >= COMMON else 0 for n in c.values()])
             held.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(pieces, pa.string()), pa.array(counts, pa.int64())], names=[*names, "piece", "n"])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(pieces, pa.string()), pa.array(counts, pa.int64()), pa.array(salts, pa.int32())], names=[*names, "piece", "n", "salt"])
 
         for b in batches:
             keys = zip(*(b.column(i).to_pylist() for i in range(len(names))))
@@ -108,10 +114,10 @@ def slice_piece_counts(df: DataFrame, slices: list[str], text: str, path: str |
                 yield flush()
         yield flush()
 
-    schema = ", ".join(f"{n} string" for n in names) + ", piece string, n bigint"
+    schema = ", ".join(f"{n} string" for n in names) + ", piece string, n bigint, salt int"
     got = df.select(*[F.col(c).alias(n) for c, n in zip(slices, names)], F.col(text).alias("text")).mapInArrow(run, schema)
-    # By piece only: all counts of a piece meet in one task, which tokenizes it once.
-    return got.repartition("piece").select(*[F.col(n).alias(c) for n, c in zip(names, slices)], "piece", "n")
+    # By piece: all counts of a piece meet in one task, which tokenizes it once; those of a common one in at most SALTS more.
+    return got.repartition("piece", "salt").select(*[F.col(n).alias(c) for n, c in zip(names, slices)], "piece", "n")
 
 
 def token_budget(df: DataFrame, slices: list[str], text: str, path: str | None = None) -> DataFrame:
@@ -168,6 +174,18 @@ def budget_input(chatml: DataFrame, documents: DataFrame, score_request: DataFra
     return chats.unionByName(docs).select("tbl", normal_source(F.col("source")).alias("source"), normal_lang(F.col("lang")).alias("lang"), F.lower(F.trim("mode")).alias("mode"), "text")
 
 
+def record_texts(chatml: DataFrame, documents: DataFrame) -> DataFrame:
+    """(key, text) of every document and every message of distinct chats; key is (tbl, rec_id)."""
+    chats = chatml.dropDuplicates(["chat_id"]).select(F.struct(F.lit("chatml").alias("tbl"), F.col("chat_id").alias("rec_id")).alias("key"), F.explode_outer(F.transform("messages", lambda m: m["content"])).alias("text"))
+    return chats.unionByName(documents.select(F.struct(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id")).alias("key"), "text"))
+
+
+def record_tokens(chatml: DataFrame, documents: DataFrame, path: str | None = None) -> DataFrame:
+    """(tbl, rec_id, n_tokens) of every record once: a chat's tokens are those of its messages, 0 if it has none."""
+    got = count_tokens(record_texts(chatml, documents), "key", "text", path)
+    return got.groupBy("key").agg(F.sum("n_tokens").alias("n_tokens")).select("key.tbl", "key.rec_id", "n_tokens")
+
+
 def with_domain(totals: DataFrame, project: DataFrame) -> DataFrame:
     """The totals with the domain of their source; null where the project is unknown or has none."""
     domains = project.groupBy(normal_source(F.col("project_name")).alias("source")).agg(F.max("domain").alias("domain"))

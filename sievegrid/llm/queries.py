@@ -39,6 +39,11 @@ def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
     return encoding.with_domain(encoding.token_budget(rows, ["tbl", "source", "lang", "mode"], "text"), load(spark, d, "project"))
 
 
+def p4_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each document and each chat."""
+    return encoding.record_tokens(load(spark, d, "chatml"), load(spark, d, "documents"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     membership, links = neardup.near_duplicates(load(spark, d, "aletheia_skill"), "node_id", {"code_snippet": neardup.CODE_BANDS, "source_context": neardup.PROSE_BANDS})
     return neardup.expand(membership, links).select(F.col("id_a").alias("node_id_a"), F.col("id_b").alias("node_id_b"), "field")
@@ -117,7 +122,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_rates": p3_rates, "p3_errors": p3_errors, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_tokens": p4_tokens, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p6_classes": p6_classes, "p6_rates": p6_rates, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_rates": p3_rates, "p3_errors": p3_errors, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_tokens": p4_tokens, "p4_documents": p4_documents, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p6_classes": p6_classes, "p6_rates": p6_rates, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
 
 
 def oracle_sql() -> dict[str, str]:
