@@ -2,17 +2,22 @@
 
 Every file's token sequence is folded by Re-Pair: the commonest adjacent pair
 of symbols becomes a rule, again and again. A whole batch of files is folded at
-once on arrays. What the grammar saves tells generated files (a few rules
-reused everywhere); what share of a file lies in literals that no rule
-shortens tells data saved as code; tokens per line tell minified files. For
-vendoring, files are cut into content-defined rules of lines, which are equal
-wherever their text is equal; rules that occur in many repositories mark a
-file as a third party's, beside notices and folders that say so.
+once on arrays, each as it would be alone. Three measures come of it: what one
+much reused rule covers of a file tells generated files; how little rules save
+on the bytes of its literals, and the share of literals, tell data saved as
+code; rules of lines that are cut by content, and so equal wherever their text
+is equal, tell files that many repositories share.
+
+Whether a file is generated or vendored is one decision over these measures,
+the phrases of its leading comments and the parts of its path: a logistic
+regression, fitted on a bounded sample of files with weak labels from notices,
+names and folders, whose threshold is set on held-out files.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import materialize, ship
 from . import textvec
+from .sampling import sample
 
-#: Thresholds: tokens and uses of a rule, and share of a file that its uses cover; length, share and blanks of the longest line; share of bytes in
-#: incompressible literals; repositories that share a rule, and share of a file's rules.
+#: Thresholds: tokens and uses of a rule, and share of a file that its uses cover, which labels it weakly as generated; length, share and blanks of
+#: the longest line; share of literals, their bytes, and what of these the grammar leaves; repositories that share a rule.
 RULE_TOKENS, RULE_USES, RULE_COVER, MIN_TOKENS = 9, 8, 0.87, 60
 MINIFIED_LINE, MINIFIED_SHARE, MINIFIED_BLANKS = 400, 0.5, 0.1
-DATA_SHARE, DATA_BYTES = 0.5, 200
-SHARED_REPOSITORIES, SHARED_RULES = 6, 0.5
+DATA_SHARE, DATA_BYTES, DATA_LEFT = 0.8, 200, 1.15
+SHARED_REPOSITORIES = 6
 CHUNK_BYTES = 400_000
+#: Files that the decisions are fitted on, in the order of a hash of their key; buckets of phrases and path parts.
+SAMPLE_FILES, BUCKETS = 12_000, 1 << 14
 
 STRING = re.compile(r"""\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|/\*[\s\S]*?\*/|(?m:^[ \t]*(?:\#|//)[^\n]*)""")
 
@@ -93,20 +101,24 @@ def repair(sym: np.ndarray, file: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     """(rules, symbols left, cover) of each of n files, folded together.
 
     A round replaces every pair that occurs twice or more and more often than
-    the pairs it overlaps, until no pair occurs twice. cover is the largest share of a file that the uses of
+    the pairs it overlaps, until no pair occurs twice. A symbol is a hash of
+    what it stands for, so ties are settled by content, not by the place of a
+    file in its batch. cover is the largest share of a file that the uses of
     one rule of RULE_TOKENS tokens and RULE_USES uses or more make up.
     """
     rules = np.zeros(n, np.int64)
     left = np.zeros(n, np.int64)
     cover = np.zeros(n)
     total = np.maximum(1, np.bincount(file, minlength=n))
-    sym = sym.astype(np.int64)
+    sym = textvec.mix(sym.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     width = np.ones(len(sym), np.int64)  # tokens that a symbol stands for
-    fresh = 256
+    salt = textvec.mix(np.arange(1, n + 1, dtype=np.uint64))
     while len(sym) >= 2:  # each round shortens the symbols or is the last
         own = file[:-1]
         ok = own == file[1:]
-        key = textvec.mix((own.astype(np.uint64) << np.uint64(48)) ^ (sym[:-1].astype(np.uint64) << np.uint64(24)) ^ sym[1:].astype(np.uint64))
+        with np.errstate(over="ignore"):
+            pair = textvec.mix(sym[:-1] * np.uint64(3) + sym[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+            key = pair ^ salt[own]
         key[~ok] = 0
         _, inv, cnt = np.unique(key, return_inverse=True, return_counts=True)
         c = np.where(ok, cnt[inv], 0)
@@ -115,7 +127,7 @@ def repair(sym: np.ndarray, file: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
         done = best[file] < 2
         # A pair is folded where it is more frequent than the pairs that overlap it (ties by hash), so equal lines fold
         # alike; runs of one pair fold at alternate positions.
-        rank_of = np.where(c >= 2, (np.minimum(c, (1 << 20) - 1) << 40) | (key >> np.uint64(24)).astype(np.int64), 0)
+        rank_of = np.where(c >= 2, (np.minimum(c, (1 << 20) - 1) << 40) | (pair >> np.uint64(24)).astype(np.int64), 0)
         before, after = np.concatenate([[0], rank_of[:-1]]), np.concatenate([rank_of[1:], [0]])
         at = np.flatnonzero((rank_of > 0) & (rank_of >= before) & (rank_of >= after))
         if len(at):
@@ -129,12 +141,7 @@ def repair(sym: np.ndarray, file: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
         owner = np.zeros(len(code), np.int64)
         owner[inv2] = own[at]
         rules += np.bincount(owner, minlength=n)
-        # Symbols are numbered within their file, which keeps them below 1 << 24.
-        order = np.argsort(owner, kind="stable")
-        rank = np.empty(len(code), np.int64)
-        rank[order] = np.arange(len(code)) - np.searchsorted(owner[order], np.arange(n))[owner[order]]
-        sym[at] = fresh + rank[inv2]
-        fresh += int(rank.max()) + 1
+        sym[at] = pair[at]
         width[at] += width[at + 1]
         long = (width[at] >= RULE_TOKENS) & (c2[inv2] >= RULE_USES)
         np.maximum.at(cover, own[at][long], (c2[inv2] * width[at] / total[own[at]])[long])
@@ -163,55 +170,102 @@ def line_rules(text: str) -> list[int]:
 
 
 def hash_line(line: str) -> int:
-    import zlib
-
     b = line.encode("utf-8", "replace")
     return zlib.crc32(b) << 16 ^ zlib.adler32(b)
 
 
-DENSE_LITERAL = re.compile(r"0x[0-9a-fA-F]{4,}|(?<![\w.])-?\d{4,}(?:\.\d+)?(?!\w)|(?<![\w.])-?\d\.\d{5,}|(?<=[\"'`])[A-Za-z0-9+/=_-]{32,}(?=[\"'`\\])|\\x[0-9a-fA-F]{2}|^[A-Za-z0-9+/=]{48,}$", re.M)
+LITERAL = re.compile(r"""[\"'`]{1,3}((?:[^\"'`\\\n]|\\.){4,})[\"'`]|(?<![\w.])(-?\d[\w.]*)|^[ \t]*([A-Za-z0-9+/=]{40,})[ \t]*$""", re.M)
+
+
+def literals(text: str) -> bytes:
+    """The bytes of a file's strings, numbers and bare lines of code points."""
+    return "".join(a or b or c for a, b, c in LITERAL.findall(text)).encode("utf-8", "replace")
+
+
+def left_of(parts: list[bytes]) -> np.ndarray:
+    """What the grammar leaves of each byte sequence: bits of its symbols and rules over bits of its bytes, so that 1 and more
+    means that nothing is saved; 0 for an empty one."""
+    n = len(parts)
+    sym = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    size = np.array([len(p) for p in parts], np.int64)
+    if not len(sym):
+        return np.zeros(n)
+    rules, left, _ = repair(sym, np.repeat(np.arange(n), size), n)
+    alphabet = np.array([max(2, len(set(p))) for p in parts])
+    return np.where(size > 0, (left + 2 * rules) * np.log2(alphabet + rules) / np.maximum(1, size * np.log2(alphabet)), 0.0)
 
 
 def measures(texts: list[str]) -> dict[str, np.ndarray]:
     n = len(texts)
     sym, file = _tokens(texts)
     rules, left, cover = repair(sym, file, n)
-    longest, blanks, dense = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    longest, blanks = np.zeros(n, np.int64), np.zeros(n)
+    share, parts = np.zeros(n), []
     for i, t in enumerate(texts):
         line = max(t.split("\n"), key=len)
         longest[i] = len(line)
         if len(line) >= MINIFIED_LINE:
             blanks[i] = line.count(" ") / len(line)
-        dense[i] = sum(map(len, DENSE_LITERAL.findall(t))) / max(1, len(t))
+        got = literals(t)
+        share[i] = len(got) / max(1, len(t) - t.count(" ") - t.count("\n"))
+        # Only where literals make up enough of a file for a blob is it asked what rules save on them.
+        parts.append(got if share[i] >= DATA_SHARE and len(got) >= DATA_BYTES else b"")
+    tokens = np.bincount(file, minlength=n)
     chars = np.maximum(1, [len(t) for t in texts])
-    return {"tokens": np.bincount(file, minlength=n), "chars": chars, "size": (left + 2 * rules) / np.maximum(1, np.bincount(file, minlength=n)), "cover": cover, "dense": dense, "longest": longest, "blanks": blanks}
+    return {"tokens": tokens, "chars": chars, "size": (left + 2 * rules) / np.maximum(1, tokens), "cover": cover, "literal": share, "left": left_of(parts), "longest": longest, "blanks": blanks}
+
+
+PHRASE = re.compile(r"[^\W_]+|@(?=\w)")
+PATH_PART = re.compile(r"[A-Za-z]+|/")
+
+
+def phrases(head: str, path: str) -> list[int]:
+    """Buckets of the one to three words in a row of the leading comments, and of the folders and pieces of the path."""
+    out = []
+    words = ["0" if w[0].isdigit() else w for w in PHRASE.findall(head.lower())]
+    for k in (1, 2, 3):
+        out += [_bucket(" ".join(words[i : i + k])) for i in range(len(words) - k + 1)]
+    folders, _, name = path.lower().rpartition("/")
+    out += [_bucket("/" + f) for f in folders.split("/")[1:]]
+    pieces = re.split(r"[._-]", name)
+    out += [_bucket("." + p) for p in pieces[1:]]
+    return sorted(set(out))
+
 
+def _bucket(s: str) -> int:
+    return zlib.crc32(s.encode("utf-8", "replace")) % BUCKETS
 
-SCHEMA = "tokens bigint, chars bigint, size double, cover double, dense double, longest bigint, blanks double, tool boolean, vendor boolean"
+
+NUMBERS = {"tokens": pa.int64(), "chars": pa.int64(), "size": pa.float64(), "cover": pa.float64(), "literal": pa.float64(), "left": pa.float64(), "longest": pa.int64(), "blanks": pa.float64()}
+SCHEMA = "tokens bigint, chars bigint, size double, cover double, literal double, left double, longest bigint, blanks double, tool boolean, vendor boolean, phrases array<int>"
 
 
 def describe(df: DataFrame, key: str, path: str, code: str, repository: str) -> DataFrame:
-    """(key, repository, path, measures..., rules ARRAY<BIGINT>) of every non-empty file."""
+    """(key, repository, path, measures..., tool, vendor, phrases, rules ARRAY<BIGINT>) of every non-empty file.
+
+    tool and vendor are the weak labels: a notice, name or folder says so.
+    """
     ship(df.sparkSession)
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(3).to_pylist()
+            paths, texts = b.column(2).to_pylist(), b.column(3).to_pylist()
             at = 0
             while at < len(texts):
                 to, size = at, 0
                 while to < len(texts) and (size < CHUNK_BYTES or to == at):
                     size += len(texts[to])
                     to += 1
-                part = texts[at:to]
+                part, names = texts[at:to], paths[at:to]
                 m = measures(part)
                 heads = [leading(t) for t in part]
                 cols = [
                     *(b.column(i).slice(at, to - at) for i in range(3)),
-                    *(pa.array(m[c], pa.int64() if c in ("tokens", "chars", "longest") else pa.float64()) for c in ("tokens", "chars", "size", "cover", "dense", "longest", "blanks")),
-                    pa.array([bool(TOOL_NOTICE.search(h)) for h in heads]),
-                    pa.array([bool(VENDOR_NOTICE.search(h)) for h in heads]),
+                    *(pa.array(m[c], kind) for c, kind in NUMBERS.items()),
+                    pa.array([bool(TOOL_NOTICE.search(h) or TOOL_NAME.search(p)) for h, p in zip(heads, names)]),
+                    pa.array([bool(VENDOR_NOTICE.search(h) or VENDOR_FOLDER.search(p)) for h, p in zip(heads, names)]),
+                    pa.array([phrases(h, p) for h, p in zip(heads, names)], pa.list_(pa.int32())),
                     pa.array([line_rules(t) for t in part], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "repository", "path", *(x.split()[0] for x in SCHEMA.split(", ")), "rules"])
@@ -221,28 +275,126 @@ def describe(df: DataFrame, key: str, path: str, code: str, repository: str) ->
     return rows.mapInArrow(run, f"key {kinds[key]}, repository string, path string, {SCHEMA}, rules array<bigint>")
 
 
+# The weights that a decision starts from and is drawn to: bias, cover, size, share and wholeness of shared rules, weak label.
+PRIOR = {"generated": [-4.0, 5.0, 0.0, 0.0, 0.0, 4.0], "vendored": [-4.0, 0.0, 0.0, 1.0, 5.0, 5.0]}
+
+
+class Decision:
+    """Logistic regression over the dense measures and the buckets of a file."""
+
+    def __init__(self, prior: list[float]):
+        self.prior = np.array(prior)
+        self.w, self.v, self.cut = self.prior.copy(), np.zeros(BUCKETS), 0.0
+
+    def logits(self, x: np.ndarray, idx: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return x @ self.w + np.bincount(row, self.v[idx], len(x))
+
+    def fit(self, x: np.ndarray, lists: list[np.ndarray], y: np.ndarray, seed: int = 9) -> "Decision":
+        """Two halves of the files score each other; the threshold is the one with the best F1 on these scores."""
+        if not 0 < y.sum() < len(y):
+            return self
+        rng = np.random.default_rng(seed)
+        half = rng.permutation(len(y)) % 2
+        held = np.zeros(len(y))
+        for k in (0, 1, None):
+            self.w, self.v = self.prior.copy(), np.zeros(BUCKETS)
+            gw, gv = np.full(self.w.shape, 1e-2), np.full(BUCKETS, 1e-2)
+            use = np.flatnonzero(half != k) if k is not None else np.arange(len(y))
+            for _ in range(6):
+                for rows in np.array_split(rng.permutation(use), max(1, len(use) // 64)):
+                    idx, seg = _flat([lists[i] for i in rows])
+                    g = 1 / (1 + np.exp(-np.clip(self.logits(x[rows], idx, seg), -30, 30))) - y[rows]
+                    dw = x[rows].T @ g / len(rows) + 2e-3 * (self.w - self.prior) / max(1.0, len(y) / 500)
+                    dv = np.bincount(idx, g[seg], BUCKETS) / len(rows)
+                    gw += dw * dw
+                    gv += dv * dv
+                    self.w -= 0.3 * dw / np.sqrt(gw)
+                    self.v -= 0.3 * dv / np.sqrt(gv)
+            if k is not None:
+                other = np.flatnonzero(half == k)
+                idx, seg = _flat([lists[i] for i in other])
+                held[other] = self.logits(x[other], idx, seg)
+        order = np.argsort(-held)
+        hits = np.cumsum(y[order])
+        f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+        k = int(np.argmax(f1))
+        below = held[order[k + 1]] if k + 1 < len(y) else held[order[k]] - 1
+        # Few files say little about a threshold: it is kept near even odds unless many were held out.
+        self.cut = float((held[order[k]] + below) / 2) * min(1.0, y.sum() / 50)
+        return self
+
+
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+
+
+INPUTS = ["cover", "size", "shared", "tokens", "tool", "vendor"]
+
+
+def _dense(cols: dict[str, np.ndarray], flag: str) -> np.ndarray:
+    n = len(cols["cover"])
+    known = cols["tokens"] >= MIN_TOKENS
+    return np.stack([np.ones(n), cols["cover"] * known, np.minimum(cols["size"], 1.0) * known, np.minimum(cols["shared"], 1.0), (cols["shared"] >= 1).astype(float), cols[flag].astype(float)], 1)
+
+
+def decisions(rows: list) -> dict[str, Decision]:
+    """The decisions on generated and vendored files, fitted on a sample of described files.
+
+    A file that one rule covers is taken for generated without a notice, too;
+    one that is shared as a whole without a notice is left out of the fit on
+    vendored files, for it may be a third party's.
+    """
+    cols = {c: np.array([r[c] for r in rows], float) for c in INPUTS}
+    lists = [np.array(r["phrases"], np.int64) for r in rows]
+    tool = (cols["tool"] > 0) | (cols["cover"] >= RULE_COVER) & (cols["tokens"] >= MIN_TOKENS)
+    out = {}
+    for name, flag, y in (("generated", "tool", tool), ("vendored", "vendor", cols["vendor"] > 0)):
+        use = np.flatnonzero((cols["shared"] < 1) | y) if name == "vendored" else np.arange(len(rows))
+        x = _dense(cols, flag)
+        out[name] = Decision(PRIOR[name]).fit(x[use], [lists[i] for i in use], y[use].astype(float))
+    return out
+
+
 def classes() -> dict[str, Column]:
-    """The condition of each class on the measures."""
-    folded = (F.col("cover") >= RULE_COVER) & (F.col("tokens") >= MIN_TOKENS)
+    """The condition of each class on the measures; generated and vendored are the logits of their decisions over their thresholds."""
     return {
-        "generated": F.col("tool") | F.col("path").rlike(TOOL_NAME.pattern) | folded,
+        "generated": F.col("generated") > 0,
         "minified": (F.col("longest") >= MINIFIED_LINE) & (F.col("longest") >= MINIFIED_SHARE * F.col("chars")) & (F.col("blanks") <= MINIFIED_BLANKS),
-        "data": (F.col("dense") >= DATA_SHARE) & (F.col("chars") >= DATA_BYTES),
-        "vendored": F.col("vendor") | F.col("path").rlike("(?i)" + VENDOR_FOLDER.pattern) | (F.col("shared") >= SHARED_RULES),
+        # Literals on which rules save nothing, or a table of literals that one rule writes out.
+        "data": (F.col("literal") >= DATA_SHARE) & (F.col("left") > 0) & ((F.col("left") >= DATA_LEFT) | (F.col("cover") >= RULE_COVER) & (F.col("tokens") >= MIN_TOKENS)),
+        "vendored": F.col("vendored") > 0,
     }
 
 
 def classify(df: DataFrame, key: str, path: str, code: str, repository: str) -> DataFrame:
-    """(key, repository, measures..., shared, classes ARRAY<STRING>) of every non-empty file, once per key.
+    """(key, repository, measures..., shared, generated, vendored, classes ARRAY<STRING>) of every non-empty file, once per key.
 
     classes is empty for hand-written files. Null and empty texts do not come
     out. A file whose repository is null shares its rules with none.
     """
-    m = describe(df, key, path, code, repository)
+    spark = df.sparkSession
+    m = materialize(describe(df, key, path, code, repository), "described")
     # Rules of a key that comes twice count once: repositories are counted, not files.
     rules = m.select("repository", F.explode(F.array_distinct("rules")).alias("rule"))
-    common = rules.where("repository is not null").groupBy("rule").agg(F.count_distinct("repository").alias("r")).where(f"r >= {SHARED_REPOSITORIES}").select("rule")
-    part = m.select("key", F.size("rules").alias("n"), F.explode("rules").alias("rule")).join(common, "rule").groupBy("key").agg((F.count("*") / F.first("n")).alias("shared"))
-    out = m.drop("rules").join(part, "key", "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
+    common = rules.where("repository is not null").distinct().groupBy("rule").agg(F.count("*").alias("r")).where(f"r >= {SHARED_REPOSITORIES}").select("rule")
+    part = m.select("key", F.array_distinct("rules").alias("rules")).select("key", F.size("rules").alias("n"), F.explode("rules").alias("rule")).distinct().join(common, "rule").groupBy("key").agg((F.count("*") / F.first("n")).alias("shared"))
+    rest = [c for c in m.columns if c not in ("key", "rules")]
+    out = m.groupBy("key").agg(*[F.first(c).alias(c) for c in rest]).join(part, "key", "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
+    out = materialize(out, "measured")
+    shared = spark.sparkContext.broadcast(decisions(sample(out.select("key", "phrases", *INPUTS), ["key"], SAMPLE_FILES)))
+    columns = out.columns
+    at = columns.index("phrases")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields) + ", generated double, vendored double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for b in batches:
+            cols = {c: b.column(columns.index(c)).cast(pa.float64() if c not in ("tool", "vendor") else pa.bool_()).to_numpy(zero_copy_only=False) for c in INPUTS}
+            lists = b.column(at)
+            idx = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            z = [pa.array(models[k].logits(_dense(cols, flag), idx, row) - models[k].cut) for k, flag in (("generated", "tool"), ("vendored", "vendor"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *z], names=[*columns, "generated", "vendored"])
+
     tags = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in classes().items()]))
-    return out.withColumn("classes", tags).dropDuplicates(["key"]).withColumnRenamed("key", key)
+    return out.mapInArrow(run, schema).withColumn("classes", tags).drop("phrases").withColumnRenamed("key", key)

@@ -74,3 +74,14 @@ def test_length_buckets_are_optimal_on_a_small_case():
     hist = {10: 5, 20: 3, 33: 4, 60: 2}
     bounds, got = packing.length_buckets(hist, 64, k=4)
     assert bounds[-1] == 60 and got["containers"] <= 2 + 4 + 1 + 1
+
+
+def test_tokens_of_records(spark):
+    from sievegrid.llm import encoding
+
+    m = "array<struct<role:string,content:string,train_loss:boolean>>"
+    chats = spark.createDataFrame([(1, [("user", "hello there", False), ("assistant", None, True)]), (1, [("user", "hello there", False), ("assistant", None, True)]), (2, None), (3, [])], f"chat_id bigint, messages {m}")
+    docs = spark.createDataFrame([(1, "hello there"), (2, None), (3, "")], "doc_id bigint, text string")
+    got = {(r.tbl, r.rec_id): r.n_tokens for r in encoding.record_tokens(chats, docs).collect()}
+    n = got["documents", 1]
+    assert n > 0 and got == {("chatml", 1): n, ("chatml", 2): 0, ("chatml", 3): 0, ("documents", 1): n, ("documents", 2): 0, ("documents", 3): 0}

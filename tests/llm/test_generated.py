@@ -59,3 +59,40 @@ def test_grammar_runs_until_no_pair_occurs_twice():
     sym = np.array([x for k in range(2, 61) for x in (100 + k, *range(1, k + 1))])
     _, left, _ = G.repair(sym, np.zeros(len(sym), int), 1)
     assert left[0] == 59 + 59 + 1
+
+
+def files(n=60):
+    rng = np.random.default_rng(1)
+    gen = ["".join(f"_F{k}_{i} = _d.Field('name_{rng.integers(999)}', mod.Type{i}, size={rng.integers(99)}, label='x{i}')\n" for i in range(30)) for k in range(n)]
+    shapes = ["x{} = {} + y{}\n", "if a{0} > {1}:\n    b{2}({1})\n", "for i{0} in c{2}:\n    d.e{0}(i{0}, {1})\n", "return f{0}[{1}:g{2}]\n", "h{0}({1}, j{2}, *k)\n", "with l{0}({2}) as m:\n    m.n{2} = {1}\n", "# remark {0} {1}\n", "assert o{0} == p{2}, q{1}\n"]
+    hand = ["".join(shapes[int(k)].format(*rng.integers(99, size=3)) for k in rng.integers(0, len(shapes), 40)) for _ in range(n)]
+    return gen, hand
+
+
+def test_a_file_is_folded_in_a_batch_as_it_is_alone():
+    gen, hand = files(8)
+    texts = [*gen, *hand, "X = '" + "Qk3z8Lp0" * 40 + "'\n", "", "a"]
+    batch = G.measures(texts)
+    for i, t in enumerate(texts):
+        alone = G.measures([t])
+        assert all(alone[c][0] == batch[c][i] for c in batch), i
+
+
+def test_the_grammar_finds_generated_files_without_any_notice():
+    gen, hand = files()
+    m = G.measures([*gen, *hand])
+    rows = [{"phrases": [], "shared": 0.0, "tool": False, "vendor": False} | {c: m[c][i] for c in ("cover", "size", "tokens")} for i in range(len(gen) + len(hand))]
+    model = G.decisions(rows)["generated"]
+    x = G._dense({c: np.array([r[c] for r in rows], float) for c in G.INPUTS}, "tool")
+    none = np.zeros(0, np.int64)
+    found = model.logits(x, none, none) > model.cut
+    assert found[: len(gen)].mean() >= 0.95 and found[len(gen) :].mean() <= 0.05
+
+
+def test_rules_save_nothing_on_random_literals():
+    rng = np.random.default_rng(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    blob = "".join(letters[int(k)] for k in rng.integers(0, 64, 4000)).encode()
+    prose = ("the value is read from the table and the table is written to the disk again, " * 40).encode()
+    left = G.left_of([blob, prose, b""])
+    assert left[0] > 1 and left[1] < 0.5 and left[2] == 0

@@ -45,3 +45,23 @@ def test_tables(spark):
     got = {tuple(r) for r in Q.defects(Q.pairs_of(chatml, payload)).collect()}
     assert got == {("chatml", 1, 2, "empty"), ("chatml", 1, 4, "empty"), ("payload", 7, 0, "empty"), ("payload", 8, 0, "empty")}
     assert Q.defects(Q.pairs_of(chatml.where("false"), payload.where("false"))).count() == 0
+
+
+def test_words_behind_the_start_count_too():
+    a = " ".join(f"w{i}" for i in range(60))
+    b = a.replace("w50", "other")
+    x, y = (set(Q.Described([("What is it?", t, False)], Q.learn_languages([])).idx.tolist()) for t in (a, b))
+    assert x - y and y - x
+
+
+def test_a_batch_is_scored_as_its_pairs_alone():
+    rows = conversation()
+    model = Q.fit(rows)
+    pairs = [(q, a, False) for _, q, a in rows[:20]] + [("What?", None, False), (None, "", False), ("什么是它？", "它是一个记录。", False)]
+    whole = Q.Described([(q or "", a or "", o) for q, a, o in pairs], model.langs).logits(model.w, model.v)
+    for i, (q, a, o) in enumerate(pairs):
+        assert np.allclose(whole[i], Q.Described([(q or "", a or "", o)], model.langs).logits(model.w, model.v)[0])
+
+
+def test_output_that_breaks_off_is_open():
+    assert Q.is_open('{"goal": "x", "answer": "It ends in the mid') and not Q.is_open('{"answer": "It ends."}') and not Q.is_open("plain") and not Q.is_open(None)
