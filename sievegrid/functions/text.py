@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -17,27 +18,34 @@ CAUSAL = ["because", "therefore", "results in", "consequently", "due to"]
 TRANSFORM = ["leads to", "lead to", "causes", "changes", "shifts", "transforms", "becomes", "allow", "enhances", "enable", "increases", "facilitates", "forms", "reacts", "influences", "reduces", "promotes", "converts", "prevents"]
 SYCOPHANCY = ["as an ai", "you are absolutely right", "i completely agree", "you're correct"]
 LENSES = [("diagnostic", ["why", "failure", "breakdown", "error"]), ("comparative", ["compare", "difference", "ratio"]), ("mechanistic", ["mechanism", "process", "step"])]
-FORBIDDEN = ["resonance field", "omega handshake", "bounded inevitability"]
+FORBIDDEN = ["IRER", "resonance field", "SSE 0.00087", "nura physics", "omega handshake", "bounded inevitability"]
 DANGLING = "this|that|these|those|than|and|or|of|from|to|a|an|the|such|similar|with|without|in|on|at|by|for|as|some|many|all|other|their|its|any|most|another"
 MODE_WORDS = {
-    "veteran": ["failure", "toxicity", "hazard", "risk", "adverse", "inhibit", "degrade", "decompose", "unstable", "contamination", "poisoning", "overdose", "defect", "limitation", "problem"],
-    "advocate": ["comparison", "advantage", "property", "characteristic", "application", "alternative", "method", "approach", "technique", "grade", "specification", "standard", "performance", "stability", "yield", "purity", "selectivity"],
     "theorist": ["mechanism", "pathway", "kinetics", "thermodynamic", "equilibrium", "activation", "entropy", "enthalpy", "orbital", "electron", "bond", "reaction", "synthesis", "catalysis", "isomer", "polymer", "radical", "spectroscopy", "diffraction", "adsorption", "chemisorption"],
+    "advocate": ["comparison", "advantage", "property", "characteristic", "application", "alternative", "method", "approach", "technique", "grade", "specification", "standard", "performance", "stability", "yield", "purity", "selectivity"],
+    "veteran": ["failure", "toxicity", "hazard", "risk", "adverse", "side effect", "inhibit", "degrade", "decompose", "unstable", "contamination", "poisoning", "overdose", "defect", "limitation", "problem"],
 }
+# What scanned text holds for a unit and for dashes, in the order of replacement.
+OCR_PAIRS = [("pig/mL", "µg/mL"), ("pig/ml", "µg/mL"), ("\u2014-", "-"), ("\u2014", "-"), ("\u2013", "-")]
+# Words on lines whose quoted value is tried for its entropy, and the bits from which it is hidden.
+SENSITIVE_WORDS = ["api_key", "secret_key", "auth_token", "access_token", "password", "bearer", "client_secret", "private_key", "token", "pwd"]
+HIGH_ENTROPY = 4.8
+# What tells that a piece of code checks something.
+VALIDATION_MARKERS = ["assert", "self.assert", "pytest", "raises", "expect", "raise ", " error"]
 # Patterns of secrets, safe for Java and RE2 alike.
 SENSITIVE = [
     r"(?s)-----BEGIN[A-Z0-9 ]+KEY-----.*?-----END[A-Z0-9 ]+KEY-----",
     r"(?s)-----BEGIN CERTIFICATE-----.*?-----END CERTIFICATE-----",
-    r"(?i)(api_key|secret_key|auth_token)[ \t]*[:=][ \t]*['\"][A-Za-z0-9+/=]{20,}['\"]",
-    r"(?i)(password|passwd|pwd)[ \t]*[:=][ \t]*['\"][^'\"]{8,}['\"]",
+    r"(?i)(api_key|secret_key|auth_token)[ \t\n\r\f]*[:=][ \t\n\r\f]*['\"][A-Za-z0-9+/=]{20,}['\"]",
+    r"(?i)(password|passwd|pwd)[ \t\n\r\f]*[:=][ \t\n\r\f]*['\"][^'\"]{8,}['\"]",
 ]
-VENDOR = [r"(ghp|gho|ghu|ghs|ghr)_[a-zA-Z0-9]{36}", r"sk_(test|live)_[0-9a-zA-Z]{24,34}", r"xox[baprs]-[0-9]{10,13}-[0-9]{10,13}-[a-zA-Z0-9]{24,34}", r"AIza[0-9A-Za-z_-]{35}", r"ya29\.[0-9A-Za-z_-]+", r"sq0csp-[0-9A-Za-z_-]{43}", r"key-[0-9a-zA-Z]{32}", r"SG\.[a-zA-Z0-9_-]{22}\.[a-zA-Z0-9_-]{43}", r"AKIA[A-Z0-9]{16}"]
+VENDOR = [r"(?:^|[^A-Z0-9])(AKIA[A-Z0-9]{16})(?:[^A-Z0-9]|$)", r"(ghp|gho|ghu|ghs|ghr)_[a-zA-Z0-9]{36}", r"sk_(test|live)_[0-9a-zA-Z]{24,34}", r"xox[baprs]-[0-9]{10,13}-[0-9]{10,13}-[a-zA-Z0-9]{24,34}", r"AIza[0-9A-Za-z_-]{35}", r"ya29\.[0-9A-Za-z_-]+", r"sq0csp-[0-9A-Za-z_-]{43}", r"key-[0-9a-zA-Z]{32}", r"SG\.[a-zA-Z0-9_-]{22}\.[a-zA-Z0-9_-]{43}"]
 DETECT = [r"(?i)api[_-]?key[ \t:=]+['\"][a-zA-Z0-9_-]{16,}['\"]", r"(?i)aws[_-]?access[_-]?key[ \t:=]+['\"][A-Z0-9]{20}['\"]", r"(?i)password[ \t:=]+['\"][^'\"]{8,}['\"]", r"(?i)secret[ \t:=]+['\"][a-zA-Z0-9_-]{16,}['\"]", r"sk-[a-zA-Z0-9]{48}"]
 
 
 def any_of(c: Column, words: list[str]) -> Column:
-    """Whether a lower-case text holds any of the words; one pass of the regex engine, no UDF."""
-    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    """Whether a lower-case text holds any of the words: one pass of the regex engine, no UDF."""
+    return c.rlike("|".join(re.escape(w).replace("\\ ", " ").replace("\\'", "'") for w in words))
 
 
 def words(c: Column) -> Column:
@@ -70,7 +78,37 @@ def sanitise(c: Column) -> Column:
 
 
 def fix_ocr(c: Column) -> Column:
-    return F.translate(F.replace(F.replace(c, F.lit("pg/mL"), F.lit("µg/mL")), F.lit("ug/mL"), F.lit("µg/mL")), "—–", "--")
+    for bad, good in OCR_PAIRS:
+        c = F.replace(c, F.lit(bad), F.lit(good))
+    return c
+
+
+def lines_of(c: Column) -> Column:
+    """Lines however they end; a line end at the very end begins none."""
+    return F.split(F.regexp_replace(c, "(\\r\\n|\\n|\\r)\\z", ""), "\\r\\n|\\n|\\r")
+
+
+def entropy_of(c: Column) -> Column:
+    """Shannon entropy of the characters of a short text, in bits, with higher-order functions."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    n = F.size(chars)
+    counts = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)).cast("double"))
+    return F.when(n > 0, F.log2(n.cast("double")) - F.aggregate(counts, F.lit(0.0), lambda a, k: a + k * F.log2(k)) / n).otherwise(0.0)
+
+
+def hide_high_entropy(c: Column) -> Column:
+    """Quoted values of high entropy, assigned on a line that names something sensitive, replaced; lines joined by newlines."""
+
+    def line(x: Column) -> Column:
+        out = x
+        for q in "\"'":
+            m = f"(?s)^([ \\t]*(?:[0-9]+[ \\t]*\\|[ \\t]*)?[A-Za-z0-9_]+[ \\t]*[:=][ \\t]*{q})([^{q}]*)({q}.*)$"
+            hit = x.rlike(m) & (entropy_of(F.regexp_extract(x, m, 2)) > HIGH_ENTROPY)
+            out = F.when(hit, F.concat(F.regexp_extract(x, m, 1), F.lit("[REDACTED_HIGH_ENTROPY]"), F.regexp_extract(x, m, 3))).otherwise(out)
+        return F.when(any_of(F.lower(x), SENSITIVE_WORDS), out).otherwise(x)
+
+    # Texts that name nothing sensitive are not taken apart.
+    return F.when(any_of(F.lower(c), SENSITIVE_WORDS), F.array_join(F.transform(lines_of(c), line), "\n")).otherwise(F.array_join(lines_of(c), "\n"))
 
 
 def token_estimate(c: Column) -> Column:
@@ -83,7 +121,7 @@ def redact(c: Column) -> Column:
         c = F.regexp_replace(c, p, "[REDACTED_SENSITIVE_PATTERN]")
     for p in VENDOR:
         c = F.regexp_replace(c, p, "[REDACTED_VENDOR_SECRET]")
-    return c
+    return hide_high_entropy(c)
 
 
 def secret_hits(c: Column) -> Column:
@@ -93,7 +131,7 @@ def secret_hits(c: Column) -> Column:
 def firewall(c: Column, tokens: list[str] = FORBIDDEN) -> Column:
     """The first forbidden token that occurs, in the order given; null for none."""
     low = F.lower(c)
-    return F.coalesce(*[F.when(low.contains(t), F.lit(t)) for t in tokens])
+    return F.coalesce(*[F.when(low.contains(t.lower()), F.lit(t)) for t in tokens])
 
 
 def lens(c: Column) -> Column:
@@ -104,10 +142,16 @@ def lens(c: Column) -> Column:
     return w.otherwise("theoretical")
 
 
-def quality_reason(c: Column) -> Column:
-    """Why a text is rejected, or 'pass': length, flattery, repetition, missing causal structure, in that order."""
-    low = F.lower(c)
-    w = ascii_words(c)
+def any_words(low: Column) -> Column:
+    """Runs of letters, digits and underscores of any script."""
+    return F.regexp_extract_all(low, F.lit("([\\p{L}\\p{N}_]+)"), 1)
+
+
+def quality_reason(c: Column, low: Column, w: Column) -> Column:
+    """Why a text is rejected, or 'pass': length, flattery, repetition, missing causal structure, in that order.
+
+    low and w are its lower case and any_words of that, projected once by the caller.
+    """
     dense = F.size(F.array_distinct(w)) / F.size(w)
     return (
         F.when(c.isNull() | (F.size(words(c)) < 20), "short_output")
@@ -134,14 +178,16 @@ def usable(c: Column) -> Column:
 
 
 def mode_of(c: Column) -> Column:
-    """The mode whose words a text shares: two of the first list, or one of the second, or one of the third."""
-    w = F.array_distinct(ascii_words(c))
+    """The mode whose words a text shares: two of the veteran's, or one of the advocate's, or one of the theorist's; else
+    theorist or advocate by the parity of the text's hash."""
+    w = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z]+"), lambda x: x != ""))
     hit = {m: F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in k]))) for m, k in MODE_WORDS.items()}
-    return F.when(hit["veteran"] >= 2, "veteran").when(hit["advocate"] >= 1, "advocate").when(hit["theorist"] >= 1, "theorist").otherwise("unknown")
+    even = F.substring(F.md5(F.coalesce(c, F.lit(""))), 1, 1).rlike("[02468ace]")
+    return F.when(hit["veteran"] >= 2, "veteran").when(hit["advocate"] >= 1, "advocate").when(hit["theorist"] >= 1, "theorist").when(even, "theorist").otherwise("advocate")
 
 
 #: Names that stand for a mode.
-MODE_ALIASES = {"theorist": "theorist", "theory": "theorist", "coding": "coding_assistant", "coding_assistant": "coding_assistant", "coder": "coding_assistant", "code": "coding_assistant", "advocate": "advocate", "hybrid": "advocate", "veteran": "veteran", "jupyter": "veteran", "notebook": "veteran"}
+MODE_ALIASES = {"coder": "software_tech", "coding": "software_tech", "coding_assistant": "software_tech", "software_tech": "software_tech", "theorist": "scholar", "scholar": "scholar", "advocate": "project_reviewer", "project_manager": "project_reviewer", "project_reviewer": "project_reviewer", "veteran": "matured", "experienced": "matured", "matured": "matured"}
 
 
 def canonical_mode(c: Column) -> Column:
@@ -149,6 +195,12 @@ def canonical_mode(c: Column) -> Column:
     return F.try_element_at(m, F.lower(F.trim(c)))
 
 
+def marker_counts(c: Column) -> Column:
+    """How often the validation markers occur in a text, whatever the case; a text may hold several that overlap."""
+    low = F.lower(c)
+    return reduce(lambda a, b: a + b, [((F.length(low) - F.length(F.replace(low, F.lit(m), F.lit("")))) / len(m)).cast("int") for m in VALIDATION_MARKERS])
+
+
 def hash_percent(c: Column) -> Column:
     """md5 as a number, modulo 100: folded over its digits, so no integer overflows."""
     digits = F.split(F.md5(c), "")

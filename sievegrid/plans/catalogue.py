@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,28 +12,9 @@ from ..operators import extract, formats, graph, records, similar
 from ..sources import files
 from ..sources.tables import load
 from ..streaming import telemetry
+from .registry import oracle_sql, queries, query
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+__all__ = ["oracle_sql", "queries"]
 
 def _quoted(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
@@ -117,7 +96,7 @@ def alpaca_rows(spark, d):
 
 
 # Texts.
-@query(f"SELECT doc_id, CASE {' '.join(f'WHEN contains(lower(text), ' + chr(39) + t + chr(39) + ') THEN ' + chr(39) + t + chr(39) for t in T.FORBIDDEN)} END AS token FROM documents WHERE {_contains('lower(text)', T.FORBIDDEN)}")
+@query("SELECT doc_id, token FROM (SELECT doc_id, CASE WHEN contains(lower(text), 'irer') THEN 'IRER' WHEN contains(lower(text), 'resonance field') THEN 'resonance field' WHEN contains(lower(text), 'sse 0.00087') THEN 'SSE 0.00087' WHEN contains(lower(text), 'nura physics') THEN 'nura physics' WHEN contains(lower(text), 'omega handshake') THEN 'omega handshake' WHEN contains(lower(text), 'bounded inevitability') THEN 'bounded inevitability' END AS token FROM documents) WHERE token IS NOT NULL")
 def firewall_scan(spark, d):
     return load(spark, d, "documents").select("doc_id", T.firewall(F.col("text")).alias("token")).where("token is not null")
 
@@ -134,7 +113,18 @@ def _nested(c: str, patterns: list[str], to: str) -> str:
     return c
 
 
-@query("SELECT node_id, md5(" + _nested(_nested("code_snippet", T.SENSITIVE, "[REDACTED_SENSITIVE_PATTERN]"), T.VENDOR, "[REDACTED_VENDOR_SECRET]") + ") AS digest FROM (SELECT DISTINCT node_id, code_snippet FROM aletheia_skill)")
+def _hide_sql(c: str) -> str:
+    """Line by line, quoted values of more than 4.8 bits on lines that name a secret."""
+    case = "l"
+    for q in ('"', "''"):
+        m = f"(?s)^([ \\t]*(?:[0-9]+[ \\t]*\\|[ \\t]*)?[A-Za-z0-9_]+[ \\t]*[:=][ \\t]*{q})([^{q}]*)({q}.*)$"
+        case = f"CASE WHEN regexp_matches(l, '{m}') AND coalesce(list_aggregate(list_filter(string_split(regexp_extract(l, '{m}', 2), ''), lambda x: x <> ''), 'entropy'), 0) > 4.8 THEN concat(regexp_extract(l, '{m}', 1), '[REDACTED_HIGH_ENTROPY]', regexp_extract(l, '{m}', 3)) ELSE {case} END"
+    words = "api_key|secret_key|auth_token|access_token|password|bearer|client_secret|private_key|token|pwd"
+    lines = f"regexp_split_to_array(regexp_replace({c}, '(\\r\\n|\\n|\\r)\\z', ''), '\\r\\n|\\n|\\r')"
+    return f"array_to_string(list_transform({lines}, lambda l: CASE WHEN regexp_matches(lower(l), '{words}') THEN {case} ELSE l END), chr(10))"
+
+
+@query("SELECT node_id, CASE WHEN code_snippet IS NOT NULL THEN md5(" + _hide_sql(_nested(_nested("code_snippet", T.SENSITIVE, "[REDACTED_SENSITIVE_PATTERN]"), T.VENDOR, "[REDACTED_VENDOR_SECRET]")) + ") END AS digest FROM (SELECT DISTINCT node_id, code_snippet FROM aletheia_skill)")
 def secret_redact(spark, d):
     s = records.once(load(spark, d, "aletheia_skill").select("node_id", "code_snippet"), "node_id")
     return s.select("node_id", F.md5(T.redact(F.col("code_snippet"))).alias("digest"))
@@ -165,10 +155,12 @@ SPACED = "list_filter(regexp_split_to_array(trim(text), '[ \\t\\n\\r\\f]+'), lam
 
 
 @query(
-    f"WITH d AS (SELECT doc_id, text, lower(text) AS low, {WORDS} AS w, len({SPACED}) AS n FROM documents) SELECT reason, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR n < 20 THEN 'short_output' WHEN {_contains('low', T.SYCOPHANCY)} THEN 'sycophancy_detected' WHEN len(w) > 50 AND len(list_distinct(w)) / len(w) < 0.4 THEN 'low_lexical_density' WHEN NOT ({_contains('low', T.CAUSAL)} AND {_contains('low', T.TRANSFORM)}) THEN 'missing_causal_structure' ELSE 'pass' END AS reason FROM d) GROUP BY reason"
+    f"WITH d AS (SELECT doc_id, text, lower(text) AS low, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w, len({SPACED}) AS n FROM documents) SELECT reason, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR n < 20 THEN 'short_output' WHEN {_contains('low', T.SYCOPHANCY)} THEN 'sycophancy_detected' WHEN len(w) > 50 AND len(list_distinct(w)) / len(w) < 0.4 THEN 'low_lexical_density' WHEN NOT ({_contains('low', T.CAUSAL)} AND {_contains('low', T.TRANSFORM)}) THEN 'missing_causal_structure' ELSE 'pass' END AS reason FROM d) GROUP BY reason"
 )
 def quality_stack(spark, d):
-    return load(spark, d, "documents").groupBy(T.quality_reason(F.col("text")).alias("reason")).agg(F.count("*").alias("n"))
+    t = load(spark, d, "documents").select("text", F.lower("text").alias("low"))
+    t = t.select("text", "low", T.any_words(F.col("low")).alias("w"))
+    return t.groupBy(T.quality_reason(F.col("text"), F.col("low"), F.col("w")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, CASE " + " ".join(f"WHEN {_contains('lower(text)', k)} THEN '{n}'" for n, k in T.LENSES) + " ELSE 'theoretical' END AS lens FROM documents WHERE text IS NOT NULL")
@@ -189,15 +181,16 @@ def usable_content(spark, d):
     return load(spark, d, "documents").groupBy("source_kind").agg(F.count_if(T.usable(F.col("text"))).alias("usable"), F.count("*").alias("n"))
 
 
-_MODE_SQL = {m: f"len(list_intersect(list_distinct({WORDS}), [{_quoted(k)}]))" for m, k in T.MODE_WORDS.items()}
+_LETTERS = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> ''))"
+_MODE_SQL = {m: f"len(list_intersect({_LETTERS}, [{_quoted(k)}]))" for m, k in T.MODE_WORDS.items()}
 
 
-@query(f"SELECT mode, count(*) AS n FROM (SELECT CASE WHEN {_MODE_SQL['veteran']} >= 2 THEN 'veteran' WHEN {_MODE_SQL['advocate']} >= 1 THEN 'advocate' WHEN {_MODE_SQL['theorist']} >= 1 THEN 'theorist' ELSE 'unknown' END AS mode FROM documents) GROUP BY mode")
+@query(f"SELECT mode, count(*) AS n FROM (SELECT CASE WHEN {_MODE_SQL['veteran']} >= 2 THEN 'veteran' WHEN {_MODE_SQL['advocate']} >= 1 THEN 'advocate' WHEN {_MODE_SQL['theorist']} >= 1 THEN 'theorist' WHEN strpos('02468ace', substr(md5(coalesce(text, '')), 1, 1)) > 0 THEN 'theorist' ELSE 'advocate' END AS mode FROM documents) GROUP BY mode")
 def mode_detect_keywords(spark, d):
     return load(spark, d, "documents").groupBy(T.mode_of(F.col("text")).alias("mode")).agg(F.count("*").alias("n"))
 
 
-@query("WITH r AS (SELECT DISTINCT request_id, mode FROM score_request), a(k, v) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in T.MODE_ALIASES.items()) + ") SELECT a.v AS mode, count(*) AS n FROM r LEFT JOIN a ON lower(trim(r.mode)) = a.k GROUP BY a.v")
+@query("SELECT CASE WHEN m IN ('coder', 'coding', 'coding_assistant', 'software_tech') THEN 'software_tech' WHEN m IN ('theorist', 'scholar') THEN 'scholar' WHEN m IN ('advocate', 'project_manager', 'project_reviewer') THEN 'project_reviewer' WHEN m IN ('veteran', 'experienced', 'matured') THEN 'matured' END AS mode, count(*) AS n FROM (SELECT DISTINCT request_id, lower(trim(mode)) AS m FROM score_request) GROUP BY 1")
 def mode_aliases(spark, d):
     r = records.once(load(spark, d, "score_request").select("request_id", "mode"), "request_id")
     return r.groupBy(T.canonical_mode(F.col("mode")).alias("mode")).agg(F.count("*").alias("n"))
@@ -601,11 +594,18 @@ def canonical_lines(spark, d):
     return files.canonical(r).select(F.md5("line").alias("digest"))
 
 
-@query("SELECT node_id, CAST(len(regexp_extract_all(code_snippet, 'assert|pytest|raises|expect|raise ')) AS INT) AS signals, CASE WHEN regexp_matches(lower(file), 'test|spec|fixture|mock') THEN 'validation' WHEN regexp_matches(code_snippet, 'assert|raise ') THEN 'validation' ELSE 'execution' END AS skill FROM (SELECT DISTINCT node_id, file, code_snippet FROM aletheia_skill) WHERE code_snippet <> ''")
+_COUNTS = " + ".join(f"CAST((length(low) - length(replace(low, '{m}', ''))) / {len(m)} AS INT)" for m in ("assert", "self.assert", "pytest", "raises", "expect", "raise ", " error"))
+
+
+@query(f"WITH s AS (SELECT DISTINCT node_id, lower(file) AS f, code_snippet, lower(code_snippet) AS low FROM aletheia_skill WHERE code_snippet <> '') SELECT node_id, {_COUNTS} AS assertion_count, concat_ws(',', CASE WHEN {_COUNTS} > 0 THEN 'behavioral_contract' END, CASE WHEN contains(low, 'edge') OR contains(low, 'boundary') THEN 'edge_case' END, CASE WHEN contains(low, 'raise') OR contains(low, 'error') OR contains(low, 'exception') THEN 'error_handling' END) AS coverage_scope, concat_ws(',', CASE WHEN contains(low, 'assert') THEN 'asserted output or state invariant' END, CASE WHEN contains(low, 'raises') OR contains(low, 'exception') THEN 'expected failure path is exercised' END) AS invariant_hints, CASE WHEN regexp_matches(f, 'test|spec|fixture|mock') OR regexp_matches(code_snippet, 'assert|raise ') THEN 'validation' ELSE 'execution' END AS skill FROM s")
 def validation_profile(spark, d):
     s = records.once(load(spark, d, "aletheia_skill").where("code_snippet <> ''").select("node_id", "file", "code_snippet"), "node_id")
-    c = F.col("code_snippet")
-    return s.select("node_id", F.regexp_count(c, F.lit("assert|pytest|raises|expect|raise ")).alias("signals"), F.when(F.lower("file").rlike("test|spec|fixture|mock") | c.rlike("assert|raise "), "validation").otherwise("execution").alias("skill"))
+    s = s.withColumn("low", F.lower("code_snippet")).withColumn("n", T.marker_counts(F.col("code_snippet")))
+    low = F.col("low")
+    scope = F.concat_ws(",", F.when(F.col("n") > 0, "behavioral_contract"), F.when(low.rlike("edge|boundary"), "edge_case"), F.when(low.rlike("raise|error|exception"), "error_handling"))
+    hints = F.concat_ws(",", F.when(low.contains("assert"), "asserted output or state invariant"), F.when(low.rlike("raises|exception"), "expected failure path is exercised"))
+    skill = F.when(F.lower("file").rlike("test|spec|fixture|mock") | F.col("code_snippet").rlike("assert|raise "), "validation").otherwise("execution")
+    return s.select("node_id", F.col("n").alias("assertion_count"), scope.alias("coverage_scope"), hints.alias("invariant_hints"), skill.alias("skill"))
 
 
 @query("SELECT module, CASE WHEN regexp_matches(lower(module), 'cuda|gpu|tensor|cufft|torch|jax') THEN 'compute.accelerated' WHEN regexp_matches(lower(module), 'sql|db|mongo|redis|query') THEN 'io.database' WHEN regexp_matches(lower(module), 'http|request|fetch|socket') THEN 'io.network' ELSE 'compute.generic' END AS class FROM (SELECT DISTINCT unnest(imports) AS module FROM aletheia_skill)")
@@ -628,3 +628,12 @@ def import_pairs(spark, d):
     m = F.array_sort(F.array_distinct("imports"))
     p = s.select(F.explode(F.flatten(F.transform(m, lambda a: F.transform(F.filter(m, lambda b: b > a), lambda b: F.struct(a.alias("left_module"), b.alias("right_module")))))).alias("p"))
     return p.groupBy("p.left_module", "p.right_module").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(text, 'pig/mL', 'µg/mL'), 'pig/ml', 'µg/mL'), chr(8212) || '-', '-'), chr(8212), '-'), chr(8211), '-')) AS digest FROM documents WHERE text IS NOT NULL")
+def ocr_pairs(spark, d):
+    """Units and dashes of scanned text put right."""
+    return load(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.fix_ocr(F.col("text"))).alias("digest"))
+
+
+from . import chats, graphs, nodes, texts  # noqa: E402, F401 - they add their queries
