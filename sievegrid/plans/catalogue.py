@@ -439,11 +439,6 @@ def call_resolution(spark, d):
     return calls.join(known, "c", "left").agg(F.count("*").alias("calls"), F.count_if(F.col("known").isNull()).alias("unresolved"))
 
 
-@query()
-def pagerank(spark, d):
-    return graph.pagerank(call_edges(spark, d)).select("node", F.round("rank", 6).alias("rank"))
-
-
 _STARTS = "(SELECT src AS node FROM e EXCEPT SELECT dst FROM e)"
 
 
@@ -455,16 +450,6 @@ def bfs_depth6(spark, d):
     return graph.reach(e, starts, 6)
 
 
-@query()
-def topo_levels(spark, d):
-    return graph.levels(call_edges(spark, d))
-
-
-@query()
-def cycle_core(spark, d):
-    return graph.cyclic(call_edges(spark, d))
-
-
 @query(f"WITH {_EDGES}, k AS (SELECT src AS node, dst AS nb FROM e UNION SELECT dst, src FROM e) SELECT node, count(*) AS neighbours FROM k GROUP BY node")
 def ego_cluster(spark, d):
     e = call_edges(spark, d)
