@@ -140,9 +140,55 @@ def levels(edges: DataFrame) -> DataFrame:
     return known.unionByName(chains).unionByName(g.rings.select("node", F.lit(-1).cast("bigint").alias("level")))
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, label): the connected components, ways either way, named by their least node.
+
+    Each round takes the least label among the neighbours and then the label of
+    that label, so rounds are as the logarithm of the longest way.
+    """
+    both = materialize(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
+    label = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")
+    while True:  # every round lowers a label or is the last
+        low = both.join(label.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("l2"))
+        new = label.join(low, "node").select("node", "label", F.least("label", "l2").alias("m"))
+        new = new.join(label.select(F.col("node").alias("m"), F.col("label").alias("l3")), "m").select("node", F.least("m", "l3").alias("label"), (F.least("m", "l3") < F.col("label")).alias("moved"))
+        new = materialize(new, "labels")
+        label = new.select("node", "label")
+        if new.where("moved").isEmpty():
+            return label
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the members of the strongly connected components of two nodes or more, named by their least node.
 
+    Nodes that call each other are merged, until no two do; what is left is
+    searched as a folded graph.
+    """
+    e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "graph")
+    merged = None
+    while True:  # every round merges nodes or is the last
+        mutual = materialize(e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi"), "mutual")
+        if mutual.isEmpty():
+            break
+        c = connected(mutual)
+        if merged is None:
+            merged = c
+        else:
+            later = merged.join(c.select(F.col("node").alias("label"), F.col("label").alias("l2")), "label", "left").select("node", F.coalesce("l2", "label").alias("label"))
+            merged = materialize(later.unionByName(c.join(merged.select("node"), "node", "left_anti")), "merged")
+        a, b = c.select(F.col("node").alias("src"), F.col("label").alias("a")), c.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+        e = materialize(e.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst")).where("src <> dst").distinct(), "graph")
+    inner = materialize(_without_mutual(e), "components")
+    if merged is None:
+        return inner
+    whole = merged.join(inner.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("g"))
+    whole = materialize(whole.unionByName(inner.join(merged.select("node"), "node", "left_anti").select("node", F.col("component").alias("g"))), "whole")
+    return whole.join(whole.groupBy("g").agg(F.min("node").alias("component")), "g").select("node", "component")
+
+
+def _without_mutual(edges: DataFrame) -> DataFrame:
+    """The components of a graph in which no two nodes call each other.
+
     Rings come from the pointers. The folded rest is peeled of nodes without a
     way in or out; the largest name that reaches a node spreads along the
     edges, and what leads back to its owner under that name is a component.
