@@ -278,7 +278,7 @@ def sample_weights(spark, d):
     return c.join(F.broadcast(f), "_mode").select("chat_id", F.round(F.greatest(F.lit(0.01), F.col("_sample_weight") * F.least(F.lit(1.0), size / 4) * F.col("factor")), 6).alias("weight"))
 
 
-@query()
+@query("WITH c AS (SELECT DISTINCT chat_id, _mode FROM chatml WHERE _mode IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY _mode ORDER BY md5(chat_id::VARCHAR), chat_id) AS i, count(*) OVER (PARTITION BY _mode) AS m FROM c), t AS (SELECT min(n) AS t FROM (SELECT count(*) AS n FROM c GROUP BY _mode)) SELECT chat_id, _mode FROM r, t WHERE floor(i * t / m) > floor((i - 1) * t / m)")
 def systematic_balance(spark, d):
     """Chats thinned so that each mode has as many as the rarest."""
     c = records.once(load(spark, d, "chatml").select("chat_id", "_mode"), "chat_id")
@@ -290,6 +290,12 @@ def seeded_cap(spark, d):
     return records.cap_mode(records.once(load(spark, d, "chatml").select("chat_id", "_mode"), "chat_id"), "_mode", "theorist", "chat_id", 0.25)
 
 
+@query("WITH c AS (SELECT DISTINCT chat_id, _mode FROM chatml WHERE _mode IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY _mode ORDER BY md5(chat_id::VARCHAR), chat_id) AS i FROM c) SELECT chat_id, _mode FROM r WHERE i <= (SELECT min(n) FROM (SELECT count(*) AS n FROM c GROUP BY _mode))")
+def equal_modes(spark, d):
+    """As many chats of each mode as the rarest has, drawn by their hash."""
+    return records.equalise(records.once(load(spark, d, "chatml").select("chat_id", "_mode"), "chat_id"), "_mode", "chat_id")
+
+
 # Token report.
 LIMITS = [256, 512, 1024, 2048, 4096, 8192, 12288, 16384, 32768]
 _EST = "coalesce((length(text) + 3) // 4, 0)"
@@ -461,12 +467,37 @@ def ego_cluster(spark, d):
 _ROW = "sha256(concat_ws('|', ledger_id::VARCHAR, node_id, coalesce(from_state, ''), to_state, coalesce(trigger_name, '')))"
 
 
-@query(f"WITH l AS (SELECT DISTINCT ledger_id, project_name, CAST(event_ts AS DATE) AS day, {_ROW} AS h FROM ledger) SELECT project_name, day, count(*) AS entries, sha256(string_agg(h, '' ORDER BY h)) AS block FROM l GROUP BY ALL")
-def ledger_blocks(spark, d):
-    """A digest per project and day over the sorted digests of its entries; a changed, lost or added entry changes it."""
+_BLOCKS = f"l AS (SELECT DISTINCT ledger_id, project_name, CAST(event_ts AS DATE) AS day, {_ROW} AS h FROM ledger), p AS (SELECT project_name, day, substr(h, 1, 2) AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM l GROUP BY ALL), b AS (SELECT project_name, day, sum(n)::BIGINT AS entries, sha256(string_agg(d, '' ORDER BY p)) AS block FROM p GROUP BY ALL)"
+
+
+def _entries(spark, d):
     h = F.sha2(F.concat_ws("|", F.col("ledger_id").cast("string"), "node_id", F.coalesce("from_state", F.lit("")), "to_state", F.coalesce("trigger_name", F.lit(""))), 256)
-    l = load(spark, d, "ledger").select("ledger_id", "project_name", F.to_date("event_ts").alias("day"), h.alias("h")).distinct()
-    return l.groupBy("project_name", "day").agg(F.count("*").alias("entries"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("block"))
+    return load(spark, d, "ledger").select("ledger_id", "project_name", F.to_date("event_ts").alias("day"), h.alias("h")).distinct()
+
+
+@query(f"WITH {_BLOCKS} SELECT * FROM b")
+def ledger_blocks(spark, d):
+    """A digest per project and day; a changed, lost or added entry changes it."""
+    return records.block_digests(_entries(spark, d), ["project_name", "day"], "h")
+
+
+_CHAIN = f"{_BLOCKS}, q AS (SELECT *, row_number() OVER (PARTITION BY project_name ORDER BY day) AS seq FROM b), c(project_name, day, seq, entries, block, prev_hash, this_hash) AS (SELECT project_name, day, seq, entries, block, 'GENESIS', sha256(concat_ws('|', 'GENESIS', project_name, day::VARCHAR, block, seq::VARCHAR)) FROM q WHERE seq = 1 UNION ALL SELECT q.project_name, q.day, q.seq, q.entries, q.block, c.this_hash, sha256(concat_ws('|', c.this_hash, q.project_name, q.day::VARCHAR, q.block, q.seq::VARCHAR)) FROM c JOIN q ON q.project_name = c.project_name AND q.seq = c.seq + 1)"
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT project_name, day::VARCHAR AS day, seq, entries, block, prev_hash, this_hash FROM c")
+def ledger_chain(spark, d):
+    """The blocks of each project sealed one after the other."""
+    return records.chained(ledger_blocks(spark, d), "project_name", "day")
+
+
+@query(f"WITH RECURSIVE {_CHAIN}, f AS (SELECT project_name, min(ledger_id) AS ledger_id FROM l GROUP BY project_name), k AS (SELECT f.project_name, min(c.seq) AS seq FROM f JOIN l USING (project_name, ledger_id) JOIN q c ON c.project_name = l.project_name AND c.day = l.day GROUP BY 1) SELECT q.project_name, count(*) AS blocks, any_value(k.seq) AS broken_at FROM q JOIN k USING (project_name) GROUP BY 1")
+def ledger_tampering(spark, d):
+    """One entry of each project altered after the sealing: the block at which the chain is seen to break."""
+    e = _entries(spark, d)
+    sealed = records.chained(records.block_digests(e, ["project_name", "day"], "h"), "project_name", "day")
+    first = e.groupBy("project_name").agg(F.min("ledger_id").alias("first"))
+    altered = e.join(first, "project_name").withColumn("h", F.when(F.col("ledger_id") == F.col("first"), F.sha2(F.concat("h", F.lit("!")), 256)).otherwise(F.col("h"))).drop("first")
+    return records.verify(sealed, records.block_digests(altered, ["project_name", "day"], "h"), "project_name", "day")
 
 
 @query("SELECT coalesce(from_state, '-') AS from_state, to_state, count(DISTINCT ledger_id) AS n FROM ledger GROUP BY ALL")
