@@ -147,11 +147,13 @@ def any_words(low: Column) -> Column:
     return F.regexp_extract_all(low, F.lit("([\\p{L}\\p{N}_]+)"), 1)
 
 
-def quality_reason(c: Column, low: Column, w: Column) -> Column:
+def quality_reason(c: Column, low: Column | None = None, w: Column | None = None) -> Column:
     """Why a text is rejected, or 'pass': length, flattery, repetition, missing causal structure, in that order.
 
-    low and w are its lower case and any_words of that, projected once by the caller.
+    low and w are its lower case and any_words of that, best projected once by the caller.
     """
+    low = F.lower(c) if low is None else low
+    w = any_words(low) if w is None else w
     dense = F.size(F.array_distinct(w)) / F.size(w)
     return (
         F.when(c.isNull() | (F.size(words(c)) < 20), "short_output")

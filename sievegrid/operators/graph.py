@@ -27,13 +27,18 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
 
 
-def influence(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+#: Rounds within which ranks must settle.
+LIMIT = 200
+
+
+def influence(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-9, limit: int = LIMIT) -> DataFrame:
     """(node, x): one and damped shares of the callers', until no x moves by more than the tolerance.
 
     Sharing the rank of nodes without exits evenly only scales all ranks, so
     the ranks of a graph are x over the sum of x, and no total is needed in
-    the rounds. nodes adds such without edges. Raises NotConverged if the
-    rounds do not do; an acyclic graph needs as many as it has levels.
+    the rounds. nodes adds such without edges. Raises NotConverged if `limit`
+    rounds do not do; an acyclic graph needs as many as it has levels. Where
+    rounds are given, the x after so many is asked for, settled or not.
     """
     e = edges.select("src", "dst").distinct()
     e = materialize(e.join(e.groupBy("src").agg(F.count("*").alias("deg")), "src"), "weighted")
@@ -41,19 +46,22 @@ def influence(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     if nodes is not None:
         every = every.unionByName(nodes.select("node"))
     x = materialize(every.distinct().withColumn("x", F.lit(1.0)), "influence")
-    for _ in range(rounds):
+    moved = None
+    for _ in range(limit if rounds is None else rounds):
         got = e.join(x.select(F.col("node").alias("src"), "x"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("x") / F.col("deg")).alias("s"))
         new = materialize(x.join(got, "node", "left").select("node", F.col("x").alias("old"), (1.0 + damping * F.coalesce("s", F.lit(0.0))).alias("x")), "influence")
         moved = new.agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0]
         x = new.drop("old")
         if moved is None or moved <= tolerance:
             return x
-    raise NotConverged(f"ranks still moved by {moved} after {rounds} rounds")
+    if rounds is None:
+        raise NotConverged(f"ranks still moved by {moved} after {limit} rounds")
+    return x
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-9, limit: int = LIMIT) -> DataFrame:
     """(node, rank), adding up to 1; ranks of nodes without exits are shared evenly. An empty graph has no ranks."""
-    x = influence(edges, None, damping, rounds, tolerance)
+    x = influence(edges, None, damping, rounds, tolerance, limit)
     return x.join(F.broadcast(x.agg(F.sum("x").alias("t")))).select("node", (F.col("x") / F.col("t")).alias("rank"))
 
 

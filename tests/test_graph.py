@@ -90,7 +90,7 @@ def test_ranks(spark):
     got = {r.node: r.rank for r in graph.pagerank(frame(spark, edges)).collect()}
     assert all(abs(got[a] - rank[a]) < 1e-7 for a in nodes)
     with pytest.raises(graph.NotConverged):
-        graph.pagerank(frame(spark, edges), rounds=3)
+        graph.pagerank(frame(spark, edges), limit=3)
     assert graph.pagerank(frame(spark, edges).where("false")).count() == 0
 
 
