@@ -32,6 +32,8 @@ COARSE_BITS = 128
 CODE_BANDS, PROSE_BANDS = (7, 160), (8, 256)
 #: Bands searched at once: the disk holds the keys of one pass only.
 PASS_BANDS = 32
+#: A key is hot if HOT_SEEN of one in HOT_SAMPLE of all texts have it; its texts meet in HOT_BLOCKS x HOT_BLOCKS cells instead of in one task.
+HOT_SAMPLE, HOT_SEEN, HOT_BLOCKS = 64, 16, 8
 MIN_WORDS, THRESHOLD = 20, 0.8
 WORD = re.compile(r"[A-Za-z0-9_]+")
 #: Texts hashed at once in a worker; bounds its memory.
@@ -195,10 +197,28 @@ def near_duplicates(df: DataFrame, key: str, fields: dict[str, tuple[int, int]])
     fits = (F.col("a.n") >= F.col("b.n") * ratio - 1e-6) & (F.col("b.n") >= F.col("a.n") * ratio - 1e-6)
     rough = F.bit_count(F.col("a.u").bitwiseXOR(F.col("b.u"))) + F.bit_count(F.col("a.v").bitwiseXOR(F.col("b.v"))) <= coarse_limit()
 
+    def keys(of: DataFrame, k: int, *columns: str) -> DataFrame:
+        post = of.select(*columns, code.alias("f"), F.posexplode(f"b{k}").alias("p", "k"))
+        return post.select(((F.col("f") * 4096 + F.col("p")).cast("bigint") * (1 << 32) + F.col("k").cast("bigint")).alias("k"), *columns)
+
+    # A family of texts that are all alike has its keys by itself; a sample of the texts tells which keys these are.
+    few = reps.where(F.pmod(F.xxhash64("h"), F.lit(HOT_SAMPLE)) == 0)
+    seen = reduce(DataFrame.unionByName, [keys(few, k).withColumn("pass", F.lit(k)) for k in range(_passes(fields))])
+    hot = materialize(seen.groupBy("pass", "k").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SEEN).select("pass", "k"), "hot")
+    n_hot = hot.count()
+
     def propose(k: int) -> DataFrame:
-        post = reps.select("h", "n", "u", "v", code.alias("f"), F.posexplode(f"b{k}").alias("p", "k")).select(((F.col("f") * 4096 + F.col("p")).cast("bigint") * (1 << 32) + F.col("k").cast("bigint")).alias("k"), "h", "n", "u", "v")
-        a, b = post.alias("a"), post.alias("b")
-        pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")) & fits & rough)
+        post = keys(reps, k, "h", "n", "u", "v")
+        on = F.col("a.k") == F.col("b.k")
+        if n_hot:
+            post = post.join(broadcast_if_small(hot.where(F.col("pass") == k).select("k", F.lit(True).alias("hot")), n_hot, 24), "k", "left")
+            block, turns = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(HOT_BLOCKS)), F.sequence(F.lit(0), F.lit(HOT_BLOCKS - 1))
+            cell = lambda f: F.explode(F.when(F.col("hot"), F.transform(turns, f)).otherwise(F.array(F.lit(0).cast("bigint"))))
+            a, b = post.withColumn("cell", cell(lambda j: block * HOT_BLOCKS + j)).alias("a"), post.withColumn("cell", cell(lambda i: i * HOT_BLOCKS + block)).alias("b")
+            on = on & (F.col("a.cell") == F.col("b.cell"))
+        else:
+            a, b = post.alias("a"), post.alias("b")
+        pairs = a.join(b, on & (F.col("a.h") < F.col("b.h")) & fits & rough)
         return materialize(pairs.select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")), "proposed")
 
     proposed = []

@@ -125,5 +125,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_rates": p3_rates, "p3_errors": p3_errors, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_tokens": p4_tokens, "p4_documents": p4_documents, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p6_classes": p6_classes, "p6_rates": p6_rates, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_sequences": p9_sequences, "p9_fill": p9_fill}
 
 
+#: All pairs by brute force over the words' occurrences.
+_PAIRS_SQL = """
+WITH t AS (SELECT DISTINCT node_id, 'code_snippet' AS field, code_snippet AS x FROM aletheia_skill UNION ALL SELECT DISTINCT node_id, 'source_context', source_context FROM aletheia_skill),
+w AS (SELECT node_id, field, lower(unnest(regexp_extract_all(x, '[A-Za-z0-9_]+'))) AS w FROM t),
+n AS (SELECT node_id, field, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 20),
+e AS (SELECT node_id, field, w, row_number() OVER (PARTITION BY node_id, field, w) AS k FROM w SEMI JOIN n USING (node_id, field)),
+c AS (SELECT a.node_id AS node_id_a, b.node_id AS node_id_b, field, count(*) AS c FROM e a JOIN e b USING (field, w, k) WHERE a.node_id < b.node_id GROUP BY ALL)
+SELECT node_id_a, node_id_b, field FROM c JOIN n x ON x.node_id = node_id_a AND x.field = c.field JOIN n y ON y.node_id = node_id_b AND y.field = c.field WHERE 2 * c.c >= 0.8 * (x.n + y.n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_found": _PAIRS_SQL.replace("SELECT node_id_a, node_id_b, field FROM c", "SELECT node_id_a, node_id_b, c.field FROM c")}

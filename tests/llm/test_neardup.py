@@ -88,3 +88,18 @@ def test_pairs_at_the_threshold_are_found_in_both_fields(spark):
         found = {(r.id_a, r.id_b) for r in got if r.field == field}
         assert found <= want
         assert len(found) >= 0.998 * len(want), field
+
+
+def test_hot_keys_are_split_and_lose_nothing(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(40):
+        t = base[:]
+        t[rng.randrange(60)] = f"x{i}"
+        rows.append((f"n{i:02}", " ".join(t), None))
+    df = spark.createDataFrame(rows, "id string, a string, b string")
+    plain = neardup.expand(*neardup.near_duplicates(df, "id", FIELDS)).count()
+    monkeypatch.setattr(neardup, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(neardup, "HOT_SEEN", 3)
+    assert neardup.expand(*neardup.near_duplicates(df, "id", FIELDS)).count() == plain == 40 * 39 // 2
