@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,16 +13,24 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..runtime import materialize, ship
 
-#: Bits of a band and bands: a pair at a cosine of 0.95 is proposed with a probability over 0.999.
-BITS, BANDS = 12, 26
+#: Least bits of a band, and the part of pairs at the threshold that no band may propose.
+BITS, MISSED = 12, 0.001
+
+
+def bands_for(rows: int, threshold: float) -> tuple[int, int]:
+    """Bits of a band and bands for so many vectors: two bits fewer than number them, so a vector meets about four others by
+    chance per band whatever their number, and as many bands as propose a pair at the threshold but for MISSED."""
+    bits = max(BITS, math.ceil(math.log2(max(2, rows))) - 2)
+    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, math.ceil(math.log(MISSED) / math.log(1 - agree))
 
 
 def redundant_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.95) -> DataFrame:
     """(a, b, cos), a < b, of vectors whose cosine is at least the threshold.
 
-    Equal vectors are one class: its least key takes part in the search, the
-    others come out as pairs with it. Null and zero vectors have no pair; a key
-    that comes twice counts once.
+    Equal vectors are one class: its least key takes part in the search, and
+    every pair of members of classes that are near, or of one class, comes out.
+    Null and zero vectors have no pair; a key that comes twice counts once.
     """
     spark = df.sparkSession
     ship(spark)
@@ -37,18 +46,24 @@ def redundant_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.9
                     keys.append(None)
                     continue
                 if planes is None or planes.shape[1] != len(v):
-                    planes = np.random.default_rng(77).standard_normal((BITS * BANDS, len(v)))
-                bits = (planes @ v > 0).reshape(BANDS, BITS)
-                keys.append(((bits @ (1 << np.arange(BITS))) + (np.arange(BANDS) << BITS)).tolist())
+                    planes = np.random.default_rng(77).standard_normal((width * bands, len(v)))
+                bits = (planes @ v > 0).reshape(bands, width)
+                keys.append(((bits @ (1 << np.arange(width))) + (np.arange(bands) << width)).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["k", "v", "bands"])
 
     plain = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    classes = plain.where("v is not null").groupBy("v").agg(F.min("k").alias("k"))
+    classes = materialize(plain.where("v is not null").groupBy("v").agg(F.min("k").alias("k")), "classes")
+    width, bands = bands_for(classes.count(), threshold)
     reps = materialize(classes.select("k", "v").mapInArrow(run, f"k {kind}, v array<double>, bands array<bigint>").where("bands is not null"), "signs")
     post = reps.select("k", F.explode("bands").alias("band"))
     a, b = post.select(F.col("k").alias("a"), "band"), post.select(F.col("k").alias("b"), "band")
     pairs = a.join(b, "band").where("a < b").select("a", "b").distinct()
     va, vb = reps.select(F.col("k").alias("a"), F.col("v").alias("va")), reps.select(F.col("k").alias("b"), F.col("v").alias("vb"))
     far = pairs.join(va, "a").join(vb, "b").select("a", "b", V.cosine(F.col("va"), F.col("vb")).alias("cos")).where(F.col("cos") >= threshold)
-    same = plain.join(reps.select(F.col("k").alias("a"), "v"), "v").where("a < k").select("a", F.col("k").alias("b"), F.lit(1.0).alias("cos")).distinct()
-    return far.unionByName(same)
+    members = materialize(plain.where("v is not null").join(reps.select(F.col("k").alias("rep"), "v"), "v").select("k", "rep").distinct(), "members")
+    x, y = members.select(F.col("k").alias("x"), F.col("rep").alias("a")), members.select(F.col("k").alias("y"), F.col("rep").alias("b"))
+    across = far.join(x, "a").join(y, "b").select("x", "y", "cos")
+    copied = members.where("k <> rep").select("rep").distinct()
+    own = members.join(copied, "rep", "left_semi")
+    within = own.select(F.col("k").alias("x"), "rep").join(own.select(F.col("k").alias("y"), "rep"), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("cos"))
+    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cos")

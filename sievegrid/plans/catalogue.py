@@ -275,7 +275,7 @@ def sample_weights(spark, d):
     c = records.once(load(spark, d, "chatml").select("chat_id", "_mode", "_sample_weight", F.size("messages").alias("n")), "chat_id").where("_sample_weight is not null")
     f = records.balance_factors(records.once(load(spark, d, "chatml").select("chat_id", "_mode"), "chat_id"), "_mode").drop("n")
     size = F.greatest(F.coalesce("n", F.lit(0)), F.lit(0))
-    return c.join(F.broadcast(f), "_mode").select("chat_id", F.round(F.greatest(F.lit(0.01), F.col("_sample_weight") * F.least(F.lit(1.0), size / 4) * F.col("factor")), 6).alias("weight"))
+    return c.join(f, "_mode").select("chat_id", F.round(F.greatest(F.lit(0.01), F.col("_sample_weight") * F.least(F.lit(1.0), size / 4) * F.col("factor")), 6).alias("weight"))
 
 
 @query("WITH c AS (SELECT DISTINCT chat_id, _mode FROM chatml WHERE _mode IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY _mode ORDER BY md5(chat_id::VARCHAR), chat_id) AS i, count(*) OVER (PARTITION BY _mode) AS m FROM c), t AS (SELECT min(n) AS t FROM (SELECT count(*) AS n FROM c GROUP BY _mode)) SELECT chat_id, _mode FROM r, t WHERE floor(i * t / m) > floor((i - 1) * t / m)")
@@ -539,9 +539,9 @@ def kl_divergence(spark, d):
     u = c.groupBy("user_id").agg(F.sum("c").alias("s"))
     g = c.groupBy("event_type").agg(F.sum("c").alias("g"))
     total = g.agg(F.sum("g").alias("t"))
-    q = g.join(F.broadcast(total)).select("event_type", (F.col("g") / F.col("t")).alias("q"))
+    q = g.join(total).select("event_type", (F.col("g") / F.col("t")).alias("q"))
     p = F.col("c") / F.col("s")
-    return c.join(u, "user_id").join(F.broadcast(q), "event_type").groupBy("user_id").agg(F.round(F.sum(p * F.log((p + 1e-10) / (F.col("q") + 1e-10))), 4).alias("kl"))
+    return c.join(u, "user_id").join(q, "event_type").groupBy("user_id").agg(F.round(F.sum(p * F.log((p + 1e-10) / (F.col("q") + 1e-10))), 4).alias("kl"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
@@ -572,7 +572,7 @@ def lineitem_summary(spark, d):
 def items_by_nation(spark, d):
     items = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("items"))
     o = load(spark, d, "orders").select("o_orderkey", "o_custkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
-    c = load(spark, d, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(load(spark, d, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = load(spark, d, "customer").select("c_custkey", "c_nationkey").join(load(spark, d, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("n_name").agg(F.count("*").alias("orders"), F.sum("items").alias("items"))
 
 
@@ -652,4 +652,4 @@ def ocr_pairs(spark, d):
     return load(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.fix_ocr(F.col("text"))).alias("digest"))
 
 
-from . import chats, graphs, nodes, texts  # noqa: E402, F401 - they add their queries
+from . import chats, graphs, nodes, shapes, texts  # noqa: E402, F401 - they add their queries

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -38,9 +39,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The shared folder for cut lineage: spark.checkpoint.dir. Where that is unset, a temporary folder serves if all of Spark is
+    this one process; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"sievegrid-{spark.sparkContext.applicationId}")
     return root.rstrip("/")
 
@@ -50,9 +54,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: dict[str, list[str]] = {}
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables that `materialize` wrote for this application; for when their queries are over. Returns their number."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
 def broadcast_if_small(df: DataFrame, n_rows: int, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """A broadcast hint only when the counted rows prove the size; otherwise Catalyst picks a shuffled join."""
     return F.broadcast(df) if n_rows * row_bytes <= limit else df

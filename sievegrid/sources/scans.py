@@ -84,7 +84,7 @@ def flattened(files: DataFrame) -> DataFrame:
 
 def block_items(spark: SparkSession, path: str, key: str = "validated_nodes") -> DataFrame:
     """(path, item): the items of one block list of YAML files, cut where a line begins with '- ', so no file is parsed as one document."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     block = F.regexp_extract("value", f"(?m)^{key}:[ \\t]*\\n((?:[ \\t]*-[^\\n]*(?:\\n|\\z)|[ \\t]+[^\\n]+(?:\\n|\\z)|[ \\t]*\\n)*)", 1)
     items = F.split(F.regexp_replace(block, "^[ \\t]*- ", ""), "\\n[ \\t]{0,2}- ")
     return text.select("path", F.explode(items).alias("item")).where(F.trim("item") != "")
@@ -93,7 +93,7 @@ def block_items(spark: SparkSession, path: str, key: str = "validated_nodes") ->
 def discover(spark: SparkSession, path: str) -> DataFrame:
     """(path, stream): input files by name: failure matrices feed 'failure', others 'knowledge'; files whose first record has a
     `_mode` are this engine's own outputs and come as 'own'."""
-    first = spark.read.option("wholetext", "true").text(f"{path}/*.jsonl").select(F.col("_metadata.file_path").alias("path"), F.split("value", "\n", 2)[0].alias("first"))
+    first = spark.read.text(f"{path}/*.jsonl", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\n", 2)[0].alias("first"))
     return first.select("path", F.when(F.array_contains(F.json_object_keys("first"), "_mode"), "own").when(F.lower("path").contains("failure_matrix"), "failure").otherwise("knowledge").alias("stream"))
 
 
