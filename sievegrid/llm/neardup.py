@@ -205,21 +205,24 @@ def near_duplicates(df: DataFrame, key: str, fields: dict[str, tuple[int, int]])
     few = reps.where(F.pmod(F.xxhash64("h"), F.lit(HOT_SAMPLE)) == 0)
     seen = reduce(DataFrame.unionByName, [keys(few, k).withColumn("pass", F.lit(k)) for k in range(_passes(fields))])
     hot = materialize(seen.groupBy("pass", "k").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SEEN).select("pass", "k"), "hot")
-    n_hot = hot.count()
+    n_hot = {r["pass"]: r["n"] for r in hot.groupBy("pass").agg(F.count("*").alias("n")).collect()}  # a row per pass
+
+    def meet(a: DataFrame, b: DataFrame, *on: str) -> DataFrame:
+        a, b = a.alias("a"), b.alias("b")
+        equal = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
+        return a.join(b, equal & (F.col("a.h") < F.col("b.h")) & fits & rough).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
 
     def propose(k: int) -> DataFrame:
         post = keys(reps, k, "h", "n", "u", "v")
-        on = F.col("a.k") == F.col("b.k")
-        if n_hot:
-            post = post.join(broadcast_if_small(hot.where(F.col("pass") == k).select("k", F.lit(True).alias("hot")), n_hot, 24), "k", "left")
-            block, turns = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(HOT_BLOCKS)), F.sequence(F.lit(0), F.lit(HOT_BLOCKS - 1))
-            cell = lambda f: F.explode(F.when(F.col("hot"), F.transform(turns, f)).otherwise(F.array(F.lit(0).cast("bigint"))))
-            a, b = post.withColumn("cell", cell(lambda j: block * HOT_BLOCKS + j)).alias("a"), post.withColumn("cell", cell(lambda i: i * HOT_BLOCKS + block)).alias("b")
-            on = on & (F.col("a.cell") == F.col("b.cell"))
-        else:
-            a, b = post.alias("a"), post.alias("b")
-        pairs = a.join(b, on & (F.col("a.h") < F.col("b.h")) & fits & rough)
-        return materialize(pairs.select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")), "proposed")
+        if k not in n_hot:
+            return materialize(meet(post, post, "k"), "proposed")
+        # Only texts of hot keys are sent to several cells; all others meet in one shuffle that serves both sides.
+        own = broadcast_if_small(hot.where(F.col("pass") == k).select("k"), n_hot[k], 24)
+        cold, warm = post.join(own, "k", "left_anti"), post.join(own, "k", "left_semi")
+        block, turns = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(HOT_BLOCKS)), F.sequence(F.lit(0), F.lit(HOT_BLOCKS - 1))
+        rows = warm.withColumn("cell", F.explode(F.transform(turns, lambda j: block * HOT_BLOCKS + j)))
+        columns = warm.withColumn("cell", F.explode(F.transform(turns, lambda i: i * HOT_BLOCKS + block)))
+        return materialize(meet(cold, cold, "k").unionByName(meet(rows, columns, "k", "cell")), "proposed")
 
     proposed = []
     for k in range(_passes(fields)):
