@@ -2,9 +2,9 @@
 
 Words of the whole corpus are counted once. Rare spellings retrieve correction
 candidates from the frequent ones by a join on positional character q-grams; a
-gradient-boosted ranking over spelling features chooses the replacement. A
-logistic classifier over pairs of neighbouring lines finds running headers;
-page numbers, broken words and paragraph joins follow from the same pairs.
+gradient-boosted ranking over spelling features chooses the replacement.
+Logistic classifiers over pairs of neighbouring lines find running headers and
+page numbers, and tell a word that is broken across two lines from a compound.
 """
 
 from __future__ import annotations
@@ -292,7 +292,7 @@ def _alike(a: str, b: str) -> bool:
 class Page:
     """The lines of a text with what the classifiers look at."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, numbers: np.ndarray | None = None):
         self.lines = text.replace("\r\n", "\n").split("\n")
         self.s = [x.strip() for x in self.lines]
         lens = sorted(len(x) for x in self.s if x)
@@ -313,10 +313,35 @@ class Page:
                 if not END.search(h) and len(h) < 70 and "|" not in h:
                     self.combined[i] = self.page[i] = True
                     self.part[i] = h
-        # Numbers below numbers are a column, not pages.
-        for i in range(1, len(self.s)):
-            if self.s[i].isdigit() and self.s[i - 1].isdigit():
-                self.page[i] = self.page[i - 1] = False
+        self.numbered = list(self.page)
+        if numbers is None:
+            numbers = NUMBER_PRIOR
+        self.page = [v and float(np.dot(numbers, self.number_features(i))) > 0 for i, v in enumerate(self.page)]
+
+    def number_features(self, i: int) -> list[float]:
+        """What tells a page number among the lines that may hold one: its neighbours, its place, and other such lines."""
+        s, value = self.s, self._value(i)
+        filled = [j for j, y in enumerate(s) if y]
+        others = [v for j, v in enumerate(map(self._value, range(len(s)))) if j != i and self.numbered[j] and v is not None]
+        before, after = (s[i - 1] if i else ""), (s[i + 1] if i + 1 < len(s) else "")
+        column = before.isdigit() and s[i].isdigit() or after.isdigit() and s[i].isdigit()
+        return [
+            1.0,
+            float(column),
+            float(self.combined[i]),
+            float(i in (filled[0], filled[-1])),
+            float(not before),
+            float(not after),
+            float(bool(before) and not END.search(before)),
+            float(after[:1].islower()),
+            float(value is not None and any(abs(value - v) == 1 for v in others)),
+            float(bool(re.match(r"(?i)[\W_]*(?:page|pg|seite|página|pag|pág|folio|第)", s[i]))),
+            float(value is not None and value > 2000),
+        ]
+
+    def _value(self, i: int) -> int | None:
+        found = re.search(r"\d{1,4}", self.s[i][len(self.part[i]) :] if self.combined[i] and self.s[i].startswith(self.part[i]) else self.s[i])
+        return int(found[0]) if found else None
 
     def candidates(self) -> list[int]:
         """Lines that may be a running header: short, no sentence's end, no list or markup."""
@@ -364,6 +389,19 @@ class Page:
         ]
 
 
+#: Weights that the classifier of page numbers starts from and is drawn to: a line that may hold one does, unless it is a column's.
+NUMBER_PRIOR = np.array([2.0, -6.0, 0.5, 0.3, 0.3, 0.3, 0.3, 0.3, 0.5, 0.5, -0.5])
+
+
+def weak_number(f: list[float]) -> int | None:
+    column, combined, edge, blank_a, blank_b, broken, lower, next_, named, large = (bool(v) for v in f[1:])
+    if column:
+        return 0
+    if named or next_ or edge or broken and lower or blank_a and blank_b and not large:
+        return 1
+    return None
+
+
 def weak_header(f: list[float]) -> int | None:
     again, near, combined, edge, broken, lower, blank_a, blank_b = (bool(v) for v in f[1:9])
     titled = f[10] >= 0.35 or f[11] or again
@@ -380,26 +418,32 @@ def weak_header(f: list[float]) -> int | None:
     return None
 
 
-def fit_lines(texts: list[str], steps: int = 300) -> np.ndarray:
-    """Logistic weights of the header classifier from weak labels; fixed weights where a sample has only one class."""
-    x, y = [], []
+def fit_lines(texts: list[str], steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic weights of the classifiers of headers and of page numbers, from weak labels; fixed weights where a sample has
+    only one class."""
+    heads, numbers = ([], []), ([], [])
     for t in texts:
         p = Page(t)
         if p.wrapped:
             cands = p.candidates()
-            for i in cands:
-                f = p.features(i, cands)
-                label = weak_header(f)
+            rows = [(heads, f, weak_header(f)) for f in (p.features(i, cands) for i in cands)]
+            rows += [(numbers, f, weak_number(f)) for f in (p.number_features(i) for i, v in enumerate(p.numbered) if v)]
+            for (x, y), f, label in rows:
                 if label is not None:
                     x.append(f)
                     y.append(label)
     prior = np.array([-2.5, 2.5, 3, 3, 1, 1.5, 1, -1, -1.2, -1.5, 1, 2, 0.5, 0, 0, 0, 2, 3, 2.5])
+    return logistic(*heads, prior, steps), logistic(*numbers, NUMBER_PRIOR, steps)
+
+
+def logistic(x: list[list[float]], y: list[int], prior: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Weights by gradient descent from the prior and drawn to it; the prior where the labels are all alike."""
     if len(set(y)) < 2:
         return prior
-    x, y = np.array(x), np.array(y, float)
+    m, t = np.array(x), np.array(y, float)
     w = prior.copy()
     for _ in range(steps):
-        g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + 0.002 * (w - prior)
+        g = m.T @ (1 / (1 + np.exp(-m @ w)) - t) / len(t) + 0.002 * (w - prior)
         w -= 0.5 * g
     return w
 
@@ -430,13 +474,13 @@ def broken_words(page: Page, skip: set[int]) -> list[tuple[int, str, str, str]]:
 LINES = "struct<heads:array<int>,pages:array<int>,broken:array<struct<line:int,head:string,mark:string,tail:string>>,words:array<struct<line:int,word:string>>>"
 
 
-def scan_lines(texts: DataFrame, weights: np.ndarray, known: set[str]) -> DataFrame:
+def scan_lines(texts: DataFrame, weights: tuple[np.ndarray, np.ndarray], known: set[str]) -> DataFrame:
     """(tbl, rec_key, found): furniture, possible breaks and words that are not generally known, of each text."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((weights, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, usual = shared.value
+        (w, numbers), usual = shared.value
         brk = pa.struct([("line", pa.int32()), ("head", pa.string()), ("mark", pa.string()), ("tail", pa.string())])
         wrd = pa.struct([("line", pa.int32()), ("word", pa.string())])
         kind = pa.struct([("heads", pa.list_(pa.int32())), ("pages", pa.list_(pa.int32())), ("broken", pa.list_(brk)), ("words", pa.list_(wrd))])
@@ -446,7 +490,7 @@ def scan_lines(texts: DataFrame, weights: np.ndarray, known: set[str]) -> DataFr
                 if not t or not is_prose(t):
                     found.append(None)
                     continue
-                page = Page(t)
+                page = Page(t, numbers)
                 heads, pages = furniture(page, w)
                 breaks = broken_words(page, heads | pages)
                 cut = {i: (h, m) for i, h, m, _ in breaks}
@@ -501,14 +545,52 @@ def analyse(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return scanned, kinds, fixes
 
 
+#: Weights that the classifier of joins starts from and is drawn to: bias; log odds of the whole word against the compound, of the
+#: whole against head and tail meeting by chance; lengths of both; whether the mark is a hyphen of compounds.
+JOIN_PRIOR = np.array([1.0, 1.0, 0.1, 0.0, 0.0, -0.2])
+
+
+def join_features(head: str, tail: str, mark: str, whole: int, pair: int, n_head: int, n_tail: int, total: int) -> list[float]:
+    """The counts as ratios, so that they say the same in a corpus of any size."""
+    chance = (n_head + 0.5) * (n_tail + 0.5) / max(1, total)
+    return [1.0, max(-4.0, min(4.0, math.log((whole + 0.5) / (pair + 0.5)))), max(-4.0, min(4.0, math.log((whole + 0.5) / chance))), min(len(head), 12) / 12, min(len(tail), 12) / 12, float(mark in "-‐‑")]
+
+
+def fit_joins(vocabulary: list[tuple[str, int]], compounds: list[tuple[str, int]], counts: dict[str, int], total: int, seed: int = 8) -> np.ndarray:
+    """Fitted on frequent words broken at any place (right) and on compounds broken at their hyphen (wrong)."""
+    rng = np.random.default_rng(seed)
+    x, y = [], []
+    for w, n in vocabulary:
+        if len(w) >= 5:
+            i = int(rng.integers(2, len(w) - 2))
+            x.append(join_features(w[:i], w[i:], "-", n, 0, counts.get(w[:i], 0), counts.get(w[i:], 0), total))
+            y.append(1)
+    for w, n in compounds:
+        h, _, t = w.partition("-")
+        x.append(join_features(h, t, "-", counts.get(h + t, 0), n, counts.get(h, n), counts.get(t, n), total))
+        y.append(0)
+    return logistic(x, y, JOIN_PRIOR)
+
+
 def joins(scanned: DataFrame, words: DataFrame) -> DataFrame:
     """(tbl, rec_key, line, head, mark, tail, joined): whether a break is inside a word or behind a compound's own hyphen."""
     b = scanned.select("tbl", "rec_key", F.explode("found.broken").alias("b")).select("tbl", "rec_key", "b.*").distinct()
     forms = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("word")) for k, v in (("whole", F.lower(F.concat("head", "tail"))), ("pair", F.lower(F.concat("head", F.lit("-"), "tail"))), ("head", F.lower("head")), ("tail", F.lower("tail")))])
     asked = b.withColumn("f", F.explode(forms)).select("tbl", "rec_key", "line", "head", "mark", "tail", "f.k", "f.word")
     n = asked.join(words, "word", "left").groupBy("tbl", "rec_key", "line", "head", "mark", "tail").agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in ("whole", "pair", "head", "tail")])
-    compound = (F.col("n_pair") > F.col("n_whole")) | (F.col("n_whole") == 0) & (F.col("n_head") >= 50) & (F.col("n_tail") >= 50) & (F.length("head") >= 3) & (F.length("tail") >= 4)
-    return n.withColumn("joined", ~(F.col("mark").isin("-", "‐", "‑") & compound))
+    plain = ~F.col("word").rlike(r"[0-9|!$-]") & (F.col("n") >= VOCABULARY_COUNT)
+    vocabulary = [(r["word"], r["n"]) for r in sample(words.where(plain).select("word", "n"), ["word"], SAMPLE_PAIRS)]
+    compounds = [(r["word"], r["n"]) for r in sample(words.where(F.col("word").rlike("^[^-]+-[^-]+$")).select("word", "n"), ["word"], SAMPLE_PAIRS)]
+    total = words.agg(F.sum("n")).first()[0] or 0
+    weights = fit_joins(vocabulary, compounds, dict(vocabulary), total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            rows = zip(*(x.column(i).to_pylist() for i in range(3, 10)))
+            got = [float(np.dot(weights, join_features(h, t, m, a, p, c, d, total))) > 0 for h, m, t, a, p, c, d in rows]
+            yield pa.RecordBatch.from_arrays([*(x.column(i) for i in range(6)), pa.array(got, pa.bool_())], names=["tbl", "rec_key", "line", "head", "mark", "tail", "joined"])
+
+    return n.mapInArrow(run, "tbl string, rec_key string, line int, head string, mark string, tail string, joined boolean")
 
 
 def repaired(texts: DataFrame, scanned: DataFrame, kinds: DataFrame, fixes: DataFrame) -> DataFrame:

@@ -80,3 +80,26 @@ def test_corrections_do_not_depend_on_the_size_of_the_corpus(spark, times):
     got = {r.word: r.right for r in S.corrections(spark.createDataFrame(rows, "word string, n bigint, m bigint")).collect()}
     assert {"studics": "studies", "lcdger": "ledger", "p1anner": "planner", "rea5on": "reason", "pr0mpt": "prompt", "zorbel1an": "zorbellan"}.items() <= got.items()
     assert "offen" not in got and "sha1sum" not in got
+
+
+def test_breaks_inside_words_are_told_from_compounds():
+    from sievegrid.llm import scanned as S
+
+    vocabulary = [(w, 40 + i) for i, w in enumerate(["calibration", "threshold", "schedule", "pipeline", "snapshot", "reviewer", "manifest", "baseline"] * 4)]
+    compounds = [("well-known", 30), ("long-term", 25), ("read-only", 40), ("end-to", 9), ("high-level", 22), ("self-test", 12), ("short-lived", 18), ("fine-tuned", 15)] * 4
+    counts = dict(vocabulary) | {w: 60 for c, _ in compounds for w in c.split("-")}
+    total = 20_000
+    w = S.fit_joins(vocabulary, compounds, counts, total)
+    joined = lambda *a: float(S.np.dot(w, S.join_features(*a, total))) > 0
+    assert joined("cali", "bration", "-", 44, 0, 0, 0) and joined("thres", "hold", "¬", 12, 0, 0, 90)
+    assert not joined("well", "known", "-", 0, 30, 60, 60) and not joined("read", "only", "-", 1, 40, 90, 80)
+    # The same ratios in a corpus a thousand times as large say the same.
+    assert float(S.np.dot(w, S.join_features("cali", "bration", "-", 44_000, 0, 0, 0, total * 1000))) > 0
+
+
+def test_a_column_of_numbers_holds_no_page_numbers():
+    from sievegrid.llm import scanned as S
+
+    text = "\n".join(["The first line of a page that is wide enough to be wrapped by a scanner,", "and its second line that goes on with the same sentence and ends here.", "", "12", "", "A third line that is just as wide as the others so that all are wrapped", "17", "18", "19", "and the last line of the page, which ends the sentence of the line before."])
+    p = S.Page(text)
+    assert p.page[3] and not any(p.page[6:9])
