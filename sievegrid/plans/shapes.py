@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import gates as G
 from ..functions import scoring as S
 from ..functions import text as T
+from ..operators import lineage as L
 from ..operators import records, similar
 from ..sources.tables import load
 from . import nodes as N
@@ -268,3 +269,17 @@ def reroll_contexts(spark, d):
     reason = F.substring("decision", 9, 99)
     return h.select("node_id", reason.alias("reason"), (F.col("budget") - 1).alias("budget_left"), F.md5(F.concat_ws("|", "node_id", reason, F.col("budget").cast("string"))).alias("fingerprint"))
 
+
+@query()
+def polyglot_slices(spark, d):
+    """Functions and types of the nodes in languages with braces."""
+    s = nodes(spark, d, "file", "code_snippet").where(F.lower("file").rlike("\\.(js|mjs|ts|java|c|h|cpp|cs|rs)$"))
+    return L.polyglot_slices(s, "node_id", "code_snippet").select("key", "name", "kind", "first", "last", F.size("calls").alias("calls"))
+
+
+@query()
+def reasoning_vectors(spark, d):
+    """What the Python nodes say, assert, catch and do, by their syntax."""
+    s = nodes(spark, d, "file", "code_snippet").where(F.lower("file").endswith(".py"))
+    v = L.reasoning_vectors(s, "node_id", "code_snippet")
+    return v.groupBy("strategy").agg(F.count("*").alias("nodes"), F.count_if(F.size("constraints") > 0).alias("asserting"), F.count_if(F.size("failure_modes") > 0).alias("catching"))

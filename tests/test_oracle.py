@@ -19,7 +19,7 @@ def db(small):
 
 
 #: Queries without SQL, and how many rows of the smallest tables they give at least; their operators have tests of their own.
-LEAST_ROWS = {"python_slices": 50, "documents_fingerprint": 1, "code_density": 50, "graph_pass": 100}
+LEAST_ROWS = {"python_slices": 50, "documents_fingerprint": 1, "code_density": 50, "graph_pass": 100, "polyglot_slices": 20, "reasoning_vectors": 2}
 
 
 def plain(v):
