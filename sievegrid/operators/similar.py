@@ -28,10 +28,28 @@ def bands_for(rows: int, threshold: float) -> tuple[int, int]:
 def redundant_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.95) -> DataFrame:
     """(a, b, cos), a < b, of vectors whose cosine is at least the threshold.
 
-    Equal vectors are one class: its least key takes part in the search, and
-    every pair of members of classes that are near, or of one class, comes out.
-    Null and zero vectors have no pair; a key that comes twice counts once.
+    Equal vectors are one class: its least key takes part in the search, the
+    others come out as pairs with it. Null and zero vectors have no pair; a key
+    that comes twice counts once. `every_pair` expands the classes.
     """
+    members, links = classes_and_links(df, key, vector, threshold)
+    same = members.where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("cos"))
+    return links.unionByName(same)
+
+
+def every_pair(df: DataFrame, key: str, vector: str, threshold: float = 0.95) -> DataFrame:
+    """The same with every pair of members of classes that are near, or of one class; as many rows as there are such pairs."""
+    members, links = classes_and_links(df, key, vector, threshold)
+    x, y = members.select(F.col("k").alias("x"), F.col("rep").alias("a")), members.select(F.col("k").alias("y"), F.col("rep").alias("b"))
+    across = links.join(x, "a").join(y, "b").select("x", "y", "cos")
+    copied = members.where("k <> rep").select("rep").distinct()
+    own = members.join(copied, "rep", "left_semi")
+    within = own.select(F.col("k").alias("x"), "rep").join(own.select(F.col("k").alias("y"), "rep"), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("cos"))
+    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cos")
+
+
+def classes_and_links(df: DataFrame, key: str, vector: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (k, rep) of every key with a vector, rep the least key of equal ones; (a, b, cos) of representatives."""
     spark = df.sparkSession
     ship(spark)
     kind = dict(df.dtypes)[key]
@@ -61,9 +79,4 @@ def redundant_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.9
     va, vb = reps.select(F.col("k").alias("a"), F.col("v").alias("va")), reps.select(F.col("k").alias("b"), F.col("v").alias("vb"))
     far = pairs.join(va, "a").join(vb, "b").select("a", "b", V.cosine(F.col("va"), F.col("vb")).alias("cos")).where(F.col("cos") >= threshold)
     members = materialize(plain.where("v is not null").join(reps.select(F.col("k").alias("rep"), "v"), "v").select("k", "rep").distinct(), "members")
-    x, y = members.select(F.col("k").alias("x"), F.col("rep").alias("a")), members.select(F.col("k").alias("y"), F.col("rep").alias("b"))
-    across = far.join(x, "a").join(y, "b").select("x", "y", "cos")
-    copied = members.where("k <> rep").select("rep").distinct()
-    own = members.join(copied, "rep", "left_semi")
-    within = own.select(F.col("k").alias("x"), "rep").join(own.select(F.col("k").alias("y"), "rep"), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("cos"))
-    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cos")
+    return members, far

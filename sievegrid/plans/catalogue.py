@@ -420,7 +420,7 @@ def vector_norms(spark, d):
 
 @query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS cos FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.95")
 def cosine_redundancy(spark, d):
-    return similar.redundant_pairs(load(spark, d, "embeddings"), "vec_id", "embedding").withColumn("cos", F.round("cos", 4))
+    return similar.every_pair(load(spark, d, "embeddings"), "vec_id", "embedding").withColumn("cos", F.round("cos", 4))
 
 
 # Graph of calls between nodes.

@@ -125,7 +125,7 @@ def resume_filter(spark, d):
 def redundancy_losers(spark, d):
     """Of two vectors that say the same, the one with the lower label goes; of equals the later."""
     e = load(spark, d, "embeddings")
-    p = similar.redundant_pairs(e, "vec_id", "embedding")
+    p = similar.every_pair(e, "vec_id", "embedding")
     x, y = e.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), e.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"))
     return p.join(x, "a").join(y, "b").select(F.when(F.col("la") >= F.col("lb"), F.col("b")).otherwise(F.col("a")).alias("loser")).distinct()
 

@@ -104,3 +104,18 @@ def test_deep_graphs_are_peeled_to_the_end(spark, monkeypatch):
     assert {r.node: r.level for r in graph.levels(edges(spark, chain)).collect()} == {f"n{i:03}": i for i in range(65)}
     long = [(f"n{i:03}", f"n{i + 1:03}") for i in range(130)]
     assert {r.node for r in graph.cyclic(edges(spark, [*long, ("x", "y"), ("y", "x")])).collect()} == {"x", "y"}
+
+
+def test_every_pair_of_near_vectors_and_their_copies(spark):
+    import numpy as np
+
+    from sievegrid.operators import similar
+
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((20, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + 0.05 * rng.standard_normal(base.shape), base[:4], base[:4]]))]
+    df = spark.createDataFrame(rows, "k bigint, v array<double>")
+    m = {k: np.array(v) for k, v in rows}
+    want = {(a, b) for a in m for b in m if a < b and m[a] @ m[b] / np.linalg.norm(m[a]) / np.linalg.norm(m[b]) >= 0.95}
+    assert {(r.a, r.b) for r in similar.every_pair(df, "k", "v").collect()} == want and len(want) > 30
+    assert similar.bands_for(10, 0.95)[0] == 12 and similar.bands_for(1 << 30, 0.95)[0] == 28
