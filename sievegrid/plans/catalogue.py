@@ -652,4 +652,4 @@ def ocr_pairs(spark, d):
     return load(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.fix_ocr(F.col("text"))).alias("digest"))
 
 
-from . import chats, graphs, nodes, sentences, shapes, texts  # noqa: E402, F401 - they add their queries
+from . import audits, chats, graphs, nodes, sentences, shapes, texts  # noqa: E402, F401 - they add their queries
