@@ -58,7 +58,7 @@ def odd_limit(threshold: float = THRESHOLD, samples: int = SKETCH_SAMPLES, bits:
     return int(expect + sigmas * var**0.5)
 
 
-def coarse_limit(threshold: float = THRESHOLD, bits: int = COARSE_BITS, sigmas: float = 3.7) -> int:
+def coarse_limit(threshold: float = THRESHOLD, bits: int = COARSE_BITS, sigmas: float = 4.0) -> int:
     """Most differing bits of the coarse sketch that a pair at the threshold shows, but for a tail of `sigmas` deviations."""
     p = (1 - threshold / (2 - threshold)) / 2
     return int(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5)
