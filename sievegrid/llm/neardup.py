@@ -26,7 +26,7 @@ from . import textvec
 
 SAMPLES, SKETCH_SAMPLES, SKETCH_BITS = 768, 320, 512
 #: Samples of the coarse sketch, one parity bit each; it travels with the band keys, so most chance candidates end where they meet.
-COARSE_BITS = 128
+COARSE_BITS = 192
 #: Rows and bands of a field: prose of one domain shares more of its words by chance than code does, so it needs longer rows.
 #: A pair at exactly THRESHOLD is proposed with probability of about 0.9997 in code and 0.9998 in prose (simulated, with the samples that bands share).
 CODE_BANDS, PROSE_BANDS = (7, 160), (8, 256)
@@ -111,9 +111,9 @@ def _lists(m: np.ndarray, kind: type = np.int64) -> pa.ListArray:
 
 
 def sketch_table(df: DataFrame, key: str, fields: dict[str, tuple[int, int]]) -> DataFrame:
-    """(id, field, n, c1, c2, u, v, sketch, b0, b1, ...) of every text with MIN_WORDS words or more.
+    """(id, field, n, c1, c2, u, v, w, sketch, b0, b1, ...) of every text with MIN_WORDS words or more.
 
-    u and v are the coarse sketch. The band keys lie in columns of PASS_BANDS
+    u, v and w are the coarse sketch. The band keys lie in columns of PASS_BANDS
     each, so that a pass reads its own; a field with fewer bands has nulls.
     """
     ship(df.sparkSession)
@@ -134,16 +134,16 @@ def sketch_table(df: DataFrame, key: str, fields: dict[str, tuple[int, int]]) ->
                     ok = np.flatnonzero(n >= MIN_WORDS)
                     short = (keys[ok] >> np.uint64(32)).astype(np.uint32)
                     bands = [_lists(short[:, k : k + PASS_BANDS], np.int32) if k < shape[1] else pa.nulls(len(ok), pa.list_(pa.int32())) for k in range(0, passes * PASS_BANDS, PASS_BANDS)]
-                    numbers = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (cls[0, ok], cls[1, ok], coarse[ok, 0], coarse[ok, 1])]
+                    numbers = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (cls[0, ok], cls[1, ok], *(coarse[ok, i] for i in range(3)))]
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(at, to - at).take(pa.array(ok)), pa.array([name] * len(ok), pa.string()), pa.array(n[ok].astype(np.int32)), *numbers, _lists(sketch[ok]), *bands],
-                        names=["id", "field", "n", "c1", "c2", "u", "v", "sketch", *(f"b{k}" for k in range(passes))],
+                        names=["id", "field", "n", "c1", "c2", "u", "v", "w", "sketch", *(f"b{k}" for k in range(passes))],
                     )
                     at = to
 
     rows = df.select(F.col(key).cast("string").alias("id"), *[F.col(c) for c in fields])
     bands = "".join(f", b{k} array<int>" for k in range(passes))
-    return rows.mapInArrow(run, f"id string, field string, n int, c1 bigint, c2 bigint, u bigint, v bigint, sketch array<bigint>{bands}")
+    return rows.mapInArrow(run, f"id string, field string, n int, c1 bigint, c2 bigint, u bigint, v bigint, w bigint, sketch array<bigint>{bands}")
 
 
 def _passes(fields: dict[str, tuple[int, int]]) -> int:
@@ -195,7 +195,7 @@ def near_duplicates(df: DataFrame, key: str, fields: dict[str, tuple[int, int]])
         code = F.when(F.col("field") == name, F.lit(i)).otherwise(code)
     ratio = THRESHOLD / (2 - THRESHOLD)
     fits = (F.col("a.n") >= F.col("b.n") * ratio - 1e-6) & (F.col("b.n") >= F.col("a.n") * ratio - 1e-6)
-    rough = F.bit_count(F.col("a.u").bitwiseXOR(F.col("b.u"))) + F.bit_count(F.col("a.v").bitwiseXOR(F.col("b.v"))) <= coarse_limit()
+    rough = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in "uvw"]) <= coarse_limit()
 
     def keys(of: DataFrame, k: int, *columns: str) -> DataFrame:
         post = of.select(*columns, code.alias("f"), F.posexplode(f"b{k}").alias("p", "k"))
@@ -213,7 +213,7 @@ def near_duplicates(df: DataFrame, key: str, fields: dict[str, tuple[int, int]])
         return a.join(b, equal & (F.col("a.h") < F.col("b.h")) & fits & rough).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
 
     def propose(k: int) -> DataFrame:
-        post = keys(reps, k, "h", "n", "u", "v")
+        post = keys(reps, k, "h", "n", "u", "v", "w")
         if k not in n_hot:
             return materialize(meet(post, post, "k"), "proposed")
         # Only texts of hot keys are sent to several cells; all others meet in one shuffle that serves both sides.
