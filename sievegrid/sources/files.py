@@ -25,17 +25,21 @@ def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 def json_lines_audit(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line, error) of every line; error is null, empty_line, invalid_json or row_not_object.
 
-    Line numbers count within a file; files are read whole lines at a time, a
-    file's numbering comes from row positions, so it is one window per file.
+    Line numbers count within a file: places within a split of it, which is
+    bounded, and the counts of the splits before, so a large file is no one task.
     """
     from pyspark.sql.window import Window
 
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    w = Window.partitionBy("file").orderBy("block", "at")
+    split = Window.partitionBy("file", "block")
+    counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("file", "block", before.alias("before"))
     t = F.trim("line")
     value = F.try_parse_json("line")
     error = F.when(t == "", "empty_line").when(value.isNull(), "invalid_json").when(~t.startswith("{"), "row_not_object")
-    return rows.withColumn("line_no", F.row_number().over(w)).select("file", "line_no", "line", error.alias("error"))
+    placed = rows.withColumn("i", F.row_number().over(split.orderBy("at"))).join(offsets, ["file", "block"])
+    return placed.select("file", (F.col("before") + F.col("i")).cast("int").alias("line_no"), "line", error.alias("error"))
 
 
 def workspace(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -88,3 +88,18 @@ def test_diff(spark):
     df = spark.createDataFrame([("a\nb", "a\nc"), ("x", "x"), (None, "x")], "a string, b string")
     got = [r[0] for r in df.select(extract.unified_diff("a", "b")).collect()]
     assert "-b" in got[0] and "+c" in got[0] and got[1] == "" and got[2] is None
+
+
+def test_lines_are_numbered_across_the_splits_of_a_file(spark, tmp_path):
+    from sievegrid.sources import files
+
+    lines = [f'{{"k": {i}}}' if i % 7 else "" for i in range(5000)]
+    (tmp_path / "big.jsonl").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = {r.line_no: r.line for r in files.json_lines_audit(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == dict(enumerate(lines, 1))
