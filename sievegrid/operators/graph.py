@@ -169,10 +169,13 @@ def connected(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the members of the strongly connected components of two nodes or more, named by their least node.
 
-    Nodes that call each other are merged, until no two do; what is left is
-    searched as a folded graph.
+    A few rounds take off what has no way in or out, which is all of a shallow
+    graph without cycles. Nodes that call each other are merged, until no two
+    do; what is left is searched as a folded graph.
     """
-    e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "graph")
+    e = _peel(edges.select("src", "dst").where("src <> dst").distinct(), TRIMS)
+    if e.isEmpty():
+        return e.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     merged = None
     while True:  # every round merges nodes or is the last
         mutual = materialize(e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi"), "mutual")
@@ -238,11 +241,17 @@ def _without_mutual(edges: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-def _peel(edges: DataFrame) -> DataFrame:
-    """The edges that are left when nodes without a way in or without a way out are taken off again and again."""
+#: Rounds of peeling before a graph is folded.
+TRIMS = 6
+
+
+def _peel(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """The edges that are left when nodes without a way in or without a way out are taken off, so many times or as often as it helps."""
     e = materialize(edges, "peel")
     size = e.count()
-    while size:  # every round takes an edge or is the last
+    for k in count():  # every round takes an edge or is the last
+        if not size or k == rounds:
+            break
         e2 = materialize(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "peel")
         new = e2.count()
         e = e2
