@@ -66,3 +66,21 @@ def test_long_values_and_names_far_before_them():
     assert [c[2] for c in C.candidates(f'api_key = "{value}"\n')] == [value]
     far = "secret_token(" + " " * 700 + '"kD83jfLq02mZx9PwT4"'
     assert C.candidates(far + ")\n")[0][3] == "secret_token"
+
+
+def test_the_model_of_a_table_is_that_of_all_its_files(spark):
+    # More files than any sample held; a key that comes again, and the layout, change nothing.
+    import hashlib
+
+    def text(i):
+        h = hashlib.md5(str(i).encode()).hexdigest()
+        return [f'db_password = "{h[:5]}-{h[5:9].upper()}-{i}"\n', f'commit_id = "{h}"\nname = "alpha_{h[:3]}x"\n', f'title = "{h[:9]}"\nseen("{h[9:18]}!")\n'][i % 3]
+
+    files = [(f"n{i}", f"d{i % 7}/f.{('py', 'yaml', 'js')[i % 4 % 3]}", text(i)) for i in range(5000)]
+    model = C.fit([f[1:] for f in files])
+    rows = spark.createDataFrame(files + files[:3] * 200, "node_id string, file string, code string")
+    want = {k: [s for *_, s in C.find(t, p, model)] for k, p, t in files}
+    assert sum(map(len, want.values())) > 1500
+    for parts in (3, 8):
+        got = C.scan(rows.repartition(parts), "node_id", "file", "code").distinct().collect()
+        assert {r.node_id: [x.score for x in r.found] for r in got} == want
